@@ -9,6 +9,7 @@ from filltape.functions.times import (
     floor_hour,
     hour_key_parts,
     hour_label,
+    instant,
     iso_to_time,
 )
 
@@ -21,6 +22,7 @@ __all__ = [
     "floor_hour",
     "hour_key_parts",
     "hour_label",
+    "instant",
     "is_finite",
     "iso_to_time",
     "normalize_date",

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filltape import params
 
 
+def instant(value: datetime) -> Column:
+    """A constant zone-less UTC timestamp. ``lit`` alone would tie it to the session time zone."""
+    return F.lit(params.utc(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def bucket(time: Column, width: str) -> Column:
     """Start of the calendar-aligned UTC bucket that holds ``time``."""
     return F.window(time, params.INTERVALS[params.interval(width)]).start
@@ -15,8 +22,7 @@ def bucket(time: Column, width: str) -> Column:
 
 def epoch_ms_to_time(ms: Column) -> Column:
     """Milliseconds since 1970 to a timestamp. The caller keeps ``ms`` in range."""
-    epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-    return F.timestamp_add("MILLISECOND", ms, epoch)
+    return F.timestamp_add("MILLISECOND", ms, instant(datetime(1970, 1, 1)))
 
 
 def iso_to_time(text: Column) -> Column:

@@ -18,7 +18,7 @@ def list_coins(df: DataFrame) -> DataFrame:
 def top_coin(df: DataFrame) -> DataFrame:
     """The most active coin as one row. Reading an empty table is an error when it runs."""
     top = coin_counts(df).agg(
-        F.max(F.struct("fill_count", F.lit(0))).getField("fill_count").alias("fill_count"),
+        F.max("fill_count").alias("fill_count"),
         F.min_by("coin", F.struct(-F.col("fill_count"), "coin")).alias("coin"),
     )
     empty = F.raise_error(F.lit("no coins available; load data first")).cast("string")

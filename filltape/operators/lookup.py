@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filltape import params
+from filltape.functions import instant
 from filltape.schema import FILL_COLUMNS
 
 # Fills of one instant keep the order of their blocks and of the events in a block.
@@ -32,7 +33,7 @@ def between(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
     ``time`` alone would still list and open every day.
     """
     start, end = params.time_range(start, end)
-    inside = (F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end))
+    inside = (F.col("time") >= instant(start)) & (F.col("time") < instant(end))
     if "event_date" in df.columns:
         last = (end - timedelta(microseconds=1)).date()
         inside = inside & F.col("event_date").between(F.lit(start.date()), F.lit(last))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filltape import params
-from filltape.functions import day_label
+from filltape.functions import day_label, instant
 
 
 def _day(df: DataFrame) -> Column:
@@ -66,5 +66,5 @@ def replace_hour(
     Applied twice with the same rows of that window it changes nothing more.
     """
     start, end = params.time_range(start, end)
-    inside = (F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end))
+    inside = (F.col("time") >= instant(start)) & (F.col("time") < instant(end))
     return existing.filter(~inside).unionByName(incoming)

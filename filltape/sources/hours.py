@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filltape import params
-from filltape.functions import floor_hour, hour_key_parts, hour_label
+from filltape.functions import floor_hour, hour_key_parts, hour_label, instant
 
 
 def hour_range(spark: SparkSession, start: datetime, end: datetime) -> DataFrame:
@@ -22,7 +22,7 @@ def hour_range(spark: SparkSession, start: datetime, end: datetime) -> DataFrame
                 f"invalid hourly range: {name} ({value}) is not aligned to hour boundary"
             )
     hours = (end - start) // timedelta(hours=1)
-    first = F.lit(start).cast("timestamp_ntz")
+    first = instant(start)
     return spark.range(hours).select(
         (first + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("hour_start")
     )
@@ -81,7 +81,7 @@ def missing_hours(df: DataFrame, from_day: str, to_day: str, time: str = "time")
     expected = hour_range(df.sparkSession, start, end)
     # One row per hour and task before the shuffle, whatever the table holds.
     seen = (
-        df.filter((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
+        df.filter((F.col(time) >= instant(start)) & (F.col(time) < instant(end)))
         .select(floor_hour(F.col(time)).alias("hour_start"))
         .distinct()
     )
