@@ -203,7 +203,7 @@ def explode_fills(blocks: DataFrame, *keep: str) -> DataFrame:
         "hour_start",
         "parse_error",
         ms.alias("time_ms"),
-        F.when(F.abs(ms) <= _STORABLE_MS, epoch_ms_to_time(ms)).alias("time"),
+        F.when(ms.between(-_STORABLE_MS, _STORABLE_MS), epoch_ms_to_time(ms)).alias("time"),
         F.col("block.block_time").alias("block_time"),
         F.col("block.block_number").alias("block_number"),
         F.col("event.address").alias("address"),
