@@ -13,51 +13,103 @@ from filltape.functions import hour_label
 from filltape.operators.decode import is_gaining_inventory
 from filltape.schema import FILL_COLUMNS
 
-BLOCK = 8
 KEY_PREFIX = "fills"
 
 
+_EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+    " props string"
+)
+
+# One fill per event, column by column.
+_FILL = {
+    "time": "ts",
+    "block_time": "ts",
+    "block_number": "event_id DIV 8",
+    "address": "concat('w', cast(user_id AS STRING))",
+    "coin": (
+        "CASE event_type WHEN 'click' THEN 'BTC' WHEN 'view' THEN 'ETH' WHEN 'purchase' THEN 'SOL'"
+        " WHEN 'signup' THEN '@1' ELSE '@107' END"
+    ),
+    "type": "CASE WHEN event_type IN ('signup', 'error') THEN 'SPOT' ELSE 'PERP' END",
+    "px": "floor(value * 64) / 64.0e0 + 1.0e0",
+    "sz": "(cast(get_json_object(props, '$.k') AS INT) + 1) / 128.0e0",
+    "is_buy": "event_id % 2 = 0",
+    "start_position": "(event_id % 21) - 10.0e0",
+    "closed_pnl": "((event_id % 17) - 8) / 4.0e0",
+    "hash": "concat('0xh', cast(event_id DIV 3 AS STRING))",
+    "oid": "event_id DIV 4 + 1",
+    "crossed": "event_id % 3 <> 0",
+    "fee": "((event_id % 9) - 2) / 64.0e0",
+    "tid": "event_id DIV 2",
+    "fee_token": "CASE WHEN event_id % 10 = 0 THEN 'HYPE' ELSE 'USDC' END",
+    "cloid": "CASE WHEN event_id % 5 = 0 THEN concat('0xc', cast(event_id AS STRING)) END",
+    "builder_fee": "CASE WHEN event_id % 7 = 0 THEN '0.25' END",
+    "builder": "CASE WHEN event_id % 7 = 0 THEN '0xb' END",
+    "local_time": "ts + INTERVAL 1 SECOND",
+    "event_pos": "event_id",
+}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(_EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def fills_from_events(source: DataFrame) -> DataFrame:
     """One fill per event, with its position ``event_pos``."""
-    event_id = F.col("event_id")
-    whole = lambda n: F.floor(event_id / n).cast("bigint")
-    number = lambda c: c.cast("double")
-    every = lambda n, value: F.when(event_id % n == 0, value)
-    coin = F.lit("@107")
-    for kind, name in (("click", "BTC"), ("view", "ETH"), ("purchase", "SOL"), ("signup", "@1")):
-        coin = F.when(F.col("event_type") == kind, name).otherwise(coin)
-    fills = source.select(
-        F.col("ts").alias("time"),
-        F.col("ts").alias("block_time"),
-        whole(BLOCK).alias("block_number"),
-        F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("address"),
-        coin.alias("coin"),
-        F.when(F.col("event_type").isin("signup", "error"), "SPOT").otherwise("PERP").alias("type"),
-        (number(F.floor(F.col("value") * 64)) / 64.0 + 1.0).alias("px"),
-        ((F.get_json_object("props", "$.k").cast("int") + 1) / 128.0).alias("sz"),
-        (event_id % 2 == 0).alias("is_buy"),
-        (number(event_id % 21) - 10.0).alias("start_position"),
-        (number(event_id % 17 - 8) / 4.0).alias("closed_pnl"),
-        F.concat(F.lit("0xh"), whole(3).cast("string")).alias("hash"),
-        (whole(4) + 1).alias("oid"),
-        (event_id % 3 != 0).alias("crossed"),
-        (number(event_id % 9 - 2) / 64.0).alias("fee"),
-        whole(2).alias("tid"),
-        F.when(event_id % 10 == 0, "HYPE").otherwise("USDC").alias("fee_token"),
-        every(5, F.concat(F.lit("0xc"), event_id.cast("string"))).alias("cloid"),
-        every(7, F.lit("0.25")).alias("builder_fee"),
-        every(7, F.lit("0xb")).alias("builder"),
-        (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("local_time"),
-        event_id.alias("event_pos"),
-    ).withColumn(
-        "is_gaining_inventory",
-        is_gaining_inventory(F.col("start_position"), F.col("sz"), F.col("is_buy")),
-    )
-    return fills.select(*FILL_COLUMNS, "event_pos")
+    fills = source.selectExpr(*[f"{sql} AS {name}" for name, sql in _FILL.items()])
+    gaining = is_gaining_inventory(F.col("start_position"), F.col("sz"), F.col("is_buy"))
+    return fills.withColumn("is_gaining_inventory", gaining).select(*FILL_COLUMNS, "event_pos")
+
+
+# The JSON keys of a fill; ``{...}`` marks where a fault may replace the value.
+_RAW_FILL = {
+    "coin": "coin",
+    "px": "{px}",
+    "sz": "{sz}",
+    "side": "CASE WHEN is_buy THEN 'B' ELSE 'A' END",
+    "time": "{time}",
+    "startPosition": "cast(start_position AS STRING)",
+    "closedPnl": "cast(closed_pnl AS STRING)",
+    "hash": "hash",
+    "oid": "oid",
+    "crossed": "crossed",
+    "fee": "{fee}",
+    "tid": "{tid}",
+    "feeToken": "fee_token",
+    "cloid": "cloid",
+    "builderFee": "builder_fee",
+    "builder": "builder",
+    "newField": "{extra}",
+}
+# Milliseconds since 1970, worked out without the session time zone.
+_MS = (
+    "(datediff(cast(time AS DATE), DATE'1970-01-01') * 86400000L"
+    " + hour(time) * 3600000L + minute(time) * 60000L"
+    " + cast(floor(extract(SECOND FROM time) * 1000) AS BIGINT))"
+)
+_VALUES = {
+    "px": "cast(px AS STRING)",
+    "sz": "cast(sz AS STRING)",
+    "time": _MS,
+    "fee": "cast(fee AS STRING)",
+    "tid": "tid",
+    "extra": "cast(NULL AS STRING)",
+}
+_FAULTY_VALUES = {
+    "px": (
+        "CASE WHEN event_pos % 107 = 4 THEN 'NaN' WHEN event_pos % 101 = 2 THEN '0'"
+        " ELSE cast(px AS STRING) END"
+    ),
+    "sz": (
+        "CASE WHEN event_pos % 107 = 4 THEN '0' WHEN event_pos % 103 = 3 THEN '-1.5'"
+        " ELSE cast(sz AS STRING) END"
+    ),
+    "time": f"CASE WHEN event_pos % 113 = 6 THEN 9000000000000000L ELSE {_MS} END",
+    "fee": "CASE WHEN event_pos % 109 = 5 THEN 'inf' ELSE cast(fee AS STRING) END",
+    "tid": "CASE WHEN NOT (block_number % 89 = 1 AND event_pos % 8 = 0) THEN tid END",
+    "extra": "CASE WHEN block_number % 13 = 0 THEN 'x' END",
+}
 
 
 def _iso(time: Column) -> Column:
@@ -72,79 +124,40 @@ def _iso(time: Column) -> Column:
 def raw_lines(source: DataFrame, faults: bool = True) -> DataFrame:
     """Block lines ``(key, line_no, line)`` of eight events each, in the raw input format.
 
-    With ``faults`` some blocks and fills are broken by rule, see :data:`FAULTS`.
+    With ``faults`` some fills get wrong values, some blocks lack a key or are cut
+    off, and some carry keys that are not part of the format.
     """
-    fill = fills_from_events(source)
-    event_id, block = F.col("event_pos"), F.col("block_number")
-
-    def text(name: str, *broken: tuple[Column, str]) -> Column:
-        value = F.col(name).cast("string")
-        for where, wrong in broken if faults else ():
-            value = F.when(where, wrong).otherwise(value)
-        return value
-
-    not_number = event_id % 107 == 4
-    # Milliseconds since 1970 without a detour over the session time zone.
-    day_ms = F.datediff(F.col("time"), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000
-    second = F.hour("time") * 3600 + F.minute("time") * 60
-    ms = (
-        day_ms
-        + second * 1000
-        + F.floor(F.extract(F.lit("SECOND"), F.col("time")) * 1000).cast("bigint")
-    )
-    tid, extra = F.col("tid"), F.lit(None).cast("string")
-    if faults:
-        ms = F.when(event_id % 113 == 6, F.lit(9_000_000_000_000_000)).otherwise(ms)
-        tid = F.when((block % 89 == 1) & (event_id % BLOCK == 0), None).otherwise(tid)
-        extra = F.when(block % 13 == 0, "x")
-    body = F.struct(
-        F.col("coin"),
-        text("px", (event_id % 101 == 2, "0"), (not_number, "NaN")).alias("px"),
-        text("sz", (event_id % 103 == 3, "-1.5"), (not_number, "0")).alias("sz"),
-        F.when(F.col("is_buy"), "B").otherwise("A").alias("side"),
-        ms.cast("bigint").alias("time"),
-        text("start_position").alias("startPosition"),
-        text("closed_pnl").alias("closedPnl"),
-        F.col("hash"),
-        F.col("oid"),
-        F.col("crossed"),
-        text("fee", (event_id % 109 == 5, "inf")).alias("fee"),
-        tid.alias("tid"),
-        F.col("fee_token").alias("feeToken"),
-        F.col("cloid"),
-        F.col("builder_fee").alias("builderFee"),
-        F.col("builder"),
-        extra.alias("newField"),
-    )
-    pair = F.concat(
-        F.lit('["'), F.col("address"), F.lit('",'), F.to_json(body), F.lit("]")
-    )
+    values = _FAULTY_VALUES if faults else _VALUES
+    body = ", ".join(f"'{key}', {sql.format(**values)}" for key, sql in _RAW_FILL.items())
     # A block has eight events by construction, so the list is bounded.
-    blocks = fill.groupBy("block_number").agg(
-        F.array_sort(F.collect_list(F.struct("event_pos", pair.alias("pair")))).alias("pairs"),
-        F.min("time").alias("first"),
+    blocks = (
+        fills_from_events(source)
+        .groupBy("block_number")
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct("event_pos", "address", F.expr(f"named_struct({body})").alias("body"))
+                )
+            ).alias("fills"),
+            F.min("time").alias("first"),
+        )
     )
-    head = F.concat(
+    pair = """fill -> concat('["', fill.address, '",', to_json(fill.body), ']')"""
+    version = "CASE WHEN block_number % 13 = 0 THEN ',\"version\":2' ELSE '' END" if faults else "''"
+    line = F.concat(
         F.lit('{"local_time":"'),
-        _iso(F.col("first") + F.expr("INTERVAL 1 SECOND")),
+        _iso(F.expr("first + INTERVAL 1 SECOND")),
         F.lit('","block_time":"'),
         _iso(F.col("first")),
-        F.lit('","block_number":'),
-        block.cast("string"),
-    )
-    line = F.concat(
-        head,
-        F.when(block % 13 == 0, ',"version":2').otherwise("") if faults else F.lit(""),
-        F.lit(',"events":['),
-        F.array_join(F.transform("pairs", lambda p: p["pair"]), ","),
-        F.lit("]}"),
+        F.expr(f"""concat('","block_number":', block_number, {version})"""),
+        F.expr(f"""concat(',"events":[', array_join(transform(fills, {pair}), ','), ']}}')"""),
     )
     if faults:
-        line = F.when(block % 97 == 0, F.substring(line, 1, 20)).otherwise(line)
+        line = F.when(F.expr("block_number % 97 = 0"), F.substring(line, 1, 20)).otherwise(line)
     return blocks.select(
-        F.concat(
-            F.lit(f"{KEY_PREFIX}/"), hour_label(F.col("first"), "/"), F.lit(".lz4")
-        ).alias("key"),
-        (block + 1).alias("line_no"),
+        F.concat(F.lit(f"{KEY_PREFIX}/"), hour_label(F.col("first"), "/"), F.lit(".lz4")).alias(
+            "key"
+        ),
+        F.expr("block_number + 1").alias("line_no"),
         line.alias("line"),
     )

@@ -68,27 +68,23 @@ def _maybe_mistyped(line: Column) -> Column:
     )
 
 
-def _kind(value: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+def _kind(value: str, path: str) -> str:
+    return f"schema_of_variant(try_variant_get({value}, '{path}', 'variant'))"
 
 
-def _typed_exactly(line: Column) -> Column:
+def _typed_exactly() -> Column:
     """The exact check behind :func:`_maybe_mistyped`, on the JSON types of each value."""
-
-    def pair_ok(pair: Column) -> Column:
-        ok = (_kind(pair, "$[0]") == "STRING") & _kind(pair, "$[1]").startswith("OBJECT")
-        for key in TEXT_KEYS:
-            ok = ok & (_kind(pair, f"$[1].{key}") == "STRING")
-        for key in OPTIONAL_KEYS:
-            kind = F.coalesce(_kind(pair, f"$[1].{key}"), F.lit("VOID"))
-            ok = ok & kind.isin("STRING", "VOID")
-        return F.coalesce(ok, F.lit(False))
-
-    block = F.try_parse_json(line)
-    ok = F.forall(F.try_variant_get(block, "$.events", "array<variant>"), pair_ok)
-    for key in ENVELOPE_TEXT_KEYS:
-        ok = ok & (_kind(block, f"$.{key}") == "STRING")
-    return F.coalesce(ok, F.lit(False))
+    pair = [f"{_kind('pair', '$[0]')} = 'STRING'", f"startswith({_kind('pair', '$[1]')}, 'OBJECT')"]
+    pair += [f"{_kind('pair', f'$[1].{key}')} = 'STRING'" for key in TEXT_KEYS]
+    pair += [
+        f"coalesce({_kind('pair', f'$[1].{key}')}, 'VOID') IN ('STRING', 'VOID')"
+        for key in OPTIONAL_KEYS
+    ]
+    block = "try_parse_json(line)"
+    events = f"try_variant_get({block}, '$.events', 'array<variant>')"
+    whole = [f"forall({events}, pair -> coalesce({' AND '.join(pair)}, false))"]
+    whole += [f"{_kind(block, f'$.{key}')} = 'STRING'" for key in ENVELOPE_TEXT_KEYS]
+    return F.expr(f"coalesce({' AND '.join(whole)}, false)")
 
 
 def _read_pair(pair: Column) -> Column:
@@ -109,13 +105,15 @@ def _read_numbers(event: Column) -> Column:
     )
 
 
-def _pair_complete(event: Column) -> Column:
-    ok = (event.width == 2) & event.address.isNotNull()
-    for key in TEXT_KEYS + WHOLE_KEYS + FLAG_KEYS:
-        ok = ok & event.raw[key].isNotNull()
-    for key in NUMBER_KEYS:
-        ok = ok & event[key].isNotNull()
-    return F.coalesce(ok, F.lit(False))
+def _complete() -> Column:
+    """Whether the envelope and every fill have all they need."""
+    needed = [f"fill.raw.{key}" for key in TEXT_KEYS + WHOLE_KEYS + FLAG_KEYS]
+    needed += [f"fill.{key}" for key in ["address", *NUMBER_KEYS]]
+    fill = " AND ".join(["fill.width = 2"] + [f"{name} IS NOT NULL" for name in needed])
+    envelope = ["tail", "block.local_time", "block.block_time", "block.block_number"]
+    whole = [f"parsed.{name} IS NOT NULL" for name in envelope]
+    whole.append(f"forall(fills, fill -> coalesce({fill}, false))")
+    return F.expr(f"coalesce({' AND '.join(whole)}, false)")
 
 
 def decode_blocks(lines: DataFrame) -> DataFrame:
@@ -131,22 +129,12 @@ def decode_blocks(lines: DataFrame) -> DataFrame:
         F.col("parsed.block.block_number").alias("block_number"),
         iso_to_time(F.col("parsed.block.local_time")).alias("local_time"),
     )
-    whole = (
-        F.col("parsed.tail").isNotNull()
-        & F.col("parsed.block.local_time").isNotNull()
-        & F.col("parsed.block.block_time").isNotNull()
-        & F.col("parsed.block.block_number").isNotNull()
-        & F.col("fills").isNotNull()
-        & F.forall("fills", _pair_complete)
-    )
-    typed = F.when(_maybe_mistyped(line), _typed_exactly(line)).otherwise(F.lit(True))
+    typed = F.when(_maybe_mistyped(line), _typed_exactly()).otherwise(F.lit(True))
     return (
         lines.withColumn("parsed", _parse_block(line))
         .withColumn("fills", F.transform("parsed.block.events", _read_pair))
         .withColumn("fills", F.transform("fills", _read_numbers))
-        .withColumn(
-            "parse_error", ~(F.coalesce(whole, F.lit(False)) & F.coalesce(typed, F.lit(False)))
-        )
+        .withColumn("parse_error", ~(_complete() & typed))
         .withColumn("block", F.when(~F.col("parse_error"), block))
         .withColumn("hour_start", key_hour_start(F.col("key")))
         .drop("parsed", "line")
@@ -190,43 +178,37 @@ def explode_fills(blocks: DataFrame, *keep: str) -> DataFrame:
         F.posexplode_outer(good).alias("event_pos", "event"),
     ).filter(F.col("parse_error") | F.col("event").isNotNull())
 
-    def raw(key: str) -> Column:
-        return F.col(f"event.raw.{key}")
-
-    def number(key: str) -> Column:
-        return F.col(f"event.{key}")
-
-    buy = is_buy(raw("side"))
-    ms = raw("time")
+    raw = {key: F.col(f"event.raw.{key}") for key in ("coin", "side", "time", "type")}
+    start, sz, buy = F.col("event.startPosition"), F.col("event.sz"), is_buy(raw["side"])
+    kind = F.when(raw["coin"].isNotNull(), fill_type(raw["type"], raw["coin"]))
+    storable = raw["time"].between(-_STORABLE_MS, _STORABLE_MS)
     return rows.select(
         *keep,
         "hour_start",
         "parse_error",
-        ms.alias("time_ms"),
-        F.when(ms.between(-_STORABLE_MS, _STORABLE_MS), epoch_ms_to_time(ms)).alias("time"),
-        F.col("block.block_time").alias("block_time"),
-        F.col("block.block_number").alias("block_number"),
-        F.col("event.address").alias("address"),
-        raw("coin").alias("coin"),
-        F.when(raw("coin").isNotNull(), fill_type(raw("type"), raw("coin"))).alias("type"),
-        number("px").alias("px"),
-        number("sz").alias("sz"),
+        raw["time"].alias("time_ms"),
+        F.when(storable, epoch_ms_to_time(raw["time"])).alias("time"),
+        "block.block_time",
+        "block.block_number",
+        "event.address",
+        "event.raw.coin",
+        kind.alias("type"),
+        "event.px",
+        "event.sz",
         buy.alias("is_buy"),
-        number("startPosition").alias("start_position"),
-        is_gaining_inventory(number("startPosition"), number("sz"), buy).alias(
-            "is_gaining_inventory"
-        ),
-        number("closedPnl").alias("closed_pnl"),
-        raw("hash").alias("hash"),
-        raw("oid").alias("oid"),
-        raw("crossed").alias("crossed"),
-        number("fee").alias("fee"),
-        raw("tid").alias("tid"),
-        raw("feeToken").alias("fee_token"),
-        raw("cloid").alias("cloid"),
-        raw("builderFee").alias("builder_fee"),
-        raw("builder").alias("builder"),
-        F.col("block.local_time").alias("local_time"),
+        start.alias("start_position"),
+        is_gaining_inventory(start, sz, buy).alias("is_gaining_inventory"),
+        F.col("event.closedPnl").alias("closed_pnl"),
+        "event.raw.hash",
+        "event.raw.oid",
+        "event.raw.crossed",
+        "event.fee",
+        "event.raw.tid",
+        F.col("event.raw.feeToken").alias("fee_token"),
+        "event.raw.cloid",
+        F.col("event.raw.builderFee").alias("builder_fee"),
+        "event.raw.builder",
+        "block.local_time",
         F.col("event_pos").cast("bigint").alias("event_pos"),
     )
 

@@ -63,18 +63,21 @@ def table_rows(
     )
 
 
-def _drop_leftovers(spark: SparkSession, root: str, load_id: str, hours: DataFrame) -> None:
+def _drop_leftovers(
+    spark: SparkSession, root: str, load_id: str, span: Column, done: DataFrame
+) -> None:
     """Delete partitions of reloaded hours that the reload did not write again.
 
     A fill may lie on another day than its object; when a corrected object no
-    longer has it, that day's partition of the hour has to go. Only partition
-    names reach the driver.
+    longer has it, that day's partition of the hour has to go. ``span`` prunes the
+    partitions to look at; only the names of those to delete reach the driver.
     """
-    reloaded = [row["src_hour"] for row in hours.select("src_hour").collect()]
+    reloaded = done.filter(F.col("status") == runs.PROCESSED).select("src_hour")
     for kind in (store.FILLS, store.QUARANTINE):
         left = (
             store.read_table(spark, root, kind)
-            .filter(F.col("src_hour").isin(reloaded))
+            .filter(span)
+            .join(reloaded, "src_hour", "left_semi")
             .groupBy("event_date", "src_hour")
             .agg(F.count_if(F.col("load_id") == load_id).alias("written"))
             .filter(F.col("written") == 0)
@@ -111,11 +114,12 @@ def load_between(
             lines = archive.decode_lines(archive.read_hours(spark, objects))
             store.write_tables(table_rows(spread(lines), load_id, as_of, min_time), root)
         # Bounds on the partition column keep this from opening the other hours.
-        ours = (F.col("load_id") == load_id) & F.col("src_hour").between(
+        span = F.col("src_hour").between(
             *[f"{params.utc(value):%Y%m%d%H}" for value in (start, end)]
         )
+        ours = span & (F.col("load_id") == load_id)
         done = store.hours(spark, root).filter(ours)
-        _drop_leftovers(spark, root, load_id, done.filter(F.col("status") == runs.PROCESSED))
+        _drop_leftovers(spark, root, load_id, span, done)
         status = _status(spark, root, expected, objects, done, ours)
         progress = runs.run_progress(status).first().asDict()
     except Exception:
