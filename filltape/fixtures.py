@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filltape.functions import hour_label
-from filltape.operators.decode import is_gaining_inventory
 from filltape.schema import FILL_COLUMNS
 
 KEY_PREFIX = "fills"
@@ -48,6 +47,11 @@ _FILL = {
     "builder": "CASE WHEN event_id % 7 = 0 THEN '0xb' END",
     "local_time": "ts + INTERVAL 1 SECOND",
     "event_pos": "event_id",
+    # The columns above may be used by name.
+    "is_gaining_inventory": (
+        "abs(start_position + CASE WHEN is_buy THEN sz ELSE -sz END)"
+        " > abs(start_position) + 1e-12"
+    ),
 }
 
 
@@ -57,9 +61,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fills_from_events(source: DataFrame) -> DataFrame:
     """One fill per event, with its position ``event_pos``."""
-    fills = source.selectExpr(*[f"{sql} AS {name}" for name, sql in _FILL.items()])
-    gaining = is_gaining_inventory(F.col("start_position"), F.col("sz"), F.col("is_buy"))
-    return fills.withColumn("is_gaining_inventory", gaining).select(*FILL_COLUMNS, "event_pos")
+    columns = [*FILL_COLUMNS, "event_pos"]
+    return source.selectExpr(*[f"{_FILL[name]} AS {name}" for name in columns])
 
 
 # The JSON keys of a fill; ``{...}`` marks where a fault may replace the value.

@@ -1,6 +1,6 @@
-"""Column expressions. Each takes columns and returns a column; none of them is a UDF."""
+"""Column expressions, as columns or, where a lambda needs it, as SQL text. None is a UDF."""
 
-from filltape.functions.numbers import finite_or_null, is_finite, parse_double, safe_ratio
+from filltape.functions.numbers import double_sql, finite_sql, safe_ratio
 from filltape.functions.text import ascii_upper, normalize_date, trim_white
 from filltape.functions.times import (
     bucket,
@@ -17,16 +17,15 @@ __all__ = [
     "ascii_upper",
     "bucket",
     "day_label",
+    "double_sql",
     "epoch_ms_to_time",
-    "finite_or_null",
+    "finite_sql",
     "floor_hour",
     "hour_key_parts",
     "hour_label",
     "instant",
-    "is_finite",
     "iso_to_time",
     "normalize_date",
-    "parse_double",
     "safe_ratio",
     "trim_white",
 ]

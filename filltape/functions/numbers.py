@@ -10,22 +10,18 @@ from pyspark.sql import functions as F
 _DOUBLE_TEXT = r"(?i)^[+-]?(nan|inf|infinity|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)\z"
 
 
-def parse_double(text: Column) -> Column:
-    """Text to double, NULL when it is not a number; ``nan`` and ``inf`` count as numbers."""
-    signed_nan = F.lower(text).isin("+nan", "-nan")
-    return F.when(
-        text.rlike(_DOUBLE_TEXT),
-        F.when(signed_nan, F.lit(float("nan"))).otherwise(text.try_cast("double")),
+def double_sql(text: str) -> str:
+    """SQL for a text as double, NULL when it is not a number; ``nan`` and ``inf`` are numbers."""
+    return (
+        f"CASE WHEN {text} RLIKE r'{_DOUBLE_TEXT}' THEN"
+        f" CASE WHEN lower({text}) IN ('+nan', '-nan') THEN double('NaN')"
+        f" ELSE try_cast({text} AS DOUBLE) END END"
     )
 
 
-def is_finite(value: Column) -> Column:
-    """True for a number that is neither NaN nor infinite; false for NULL."""
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
-
-
-def finite_or_null(value: Column) -> Column:
-    return F.when(is_finite(value), value)
+def finite_sql(value: str) -> str:
+    """SQL for whether a number is neither NULL, NaN nor infinite."""
+    return f"({value} IS NOT NULL AND NOT isnan({value}) AND abs({value}) < double('Infinity'))"
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from filltape.functions import (
     ascii_upper,
+    double_sql,
     epoch_ms_to_time,
     iso_to_time,
-    parse_double,
     trim_white,
 )
 from filltape.sources.hours import key_hour_start
@@ -87,22 +87,19 @@ def _typed_exactly() -> Column:
     return F.expr(f"coalesce({' AND '.join(whole)}, false)")
 
 
-def _read_pair(pair: Column) -> Column:
-    return F.struct(
-        F.get(pair, F.lit(0)).alias("address"),
-        F.from_json(F.get(pair, F.lit(1)), _FILL_TYPE, _JSON).alias("raw"),
-        F.size(pair).alias("width"),
-    )
+def _read_events() -> Column:
+    """The pairs of a block as structs ``address, raw, width``."""
+    options = ", ".join(f"'{key}', '{value}'" for key, value in _JSON.items())
+    raw = f"from_json(get(pair, 1), '{_FILL_TYPE}', map({options}))"
+    pair = f"named_struct('address', get(pair, 0), 'raw', {raw}, 'width', size(pair))"
+    return F.expr(f"transform(parsed.block.events, pair -> {pair})")
 
 
-def _read_numbers(event: Column) -> Column:
-    numbers = [parse_double(event.raw[key]).alias(key) for key in NUMBER_KEYS]
-    return F.struct(
-        event.address.alias("address"),
-        event.raw.alias("raw"),
-        event.width.alias("width"),
-        *numbers,
-    )
+def _read_numbers() -> Column:
+    """The same structs, with the number texts as numbers."""
+    fields = [f"'{name}', fill.{name}" for name in ("address", "raw", "width")]
+    fields += [f"'{key}', {double_sql(f'fill.raw.{key}')}" for key in NUMBER_KEYS]
+    return F.expr(f"transform(fills, fill -> named_struct({', '.join(fields)}))")
 
 
 def _complete() -> Column:
@@ -130,14 +127,18 @@ def decode_blocks(lines: DataFrame) -> DataFrame:
         iso_to_time(F.col("parsed.block.local_time")).alias("local_time"),
     )
     typed = F.when(_maybe_mistyped(line), _typed_exactly()).otherwise(F.lit(True))
+    kept = [name for name in lines.columns if name != "line"]
     return (
         lines.withColumn("parsed", _parse_block(line))
-        .withColumn("fills", F.transform("parsed.block.events", _read_pair))
-        .withColumn("fills", F.transform("fills", _read_numbers))
-        .withColumn("parse_error", ~(_complete() & typed))
-        .withColumn("block", F.when(~F.col("parse_error"), block))
-        .withColumn("hour_start", key_hour_start(F.col("key")))
-        .drop("parsed", "line")
+        .withColumn("fills", _read_events())
+        .withColumn("fills", _read_numbers())
+        .select(
+            *kept,
+            "fills",
+            (~(_complete() & typed)).alias("parse_error"),
+            block.alias("block"),
+            key_hour_start(F.col("key")).alias("hour_start"),
+        )
     )
 
 
@@ -174,7 +175,7 @@ def explode_fills(blocks: DataFrame, *keep: str) -> DataFrame:
         *keep,
         "hour_start",
         "parse_error",
-        "block",
+        F.when(~F.col("parse_error"), F.col("block")).alias("block"),
         F.posexplode_outer(good).alias("event_pos", "event"),
     ).filter(F.col("parse_error") | F.col("event").isNotNull())
 

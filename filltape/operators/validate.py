@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filltape import params
-from filltape.functions import finite_or_null, hour_key_parts, is_finite
+from filltape.functions import finite_sql, hour_key_parts
 from filltape.schema import FILL_COLUMNS
 
 # First instant of the archive, and how far a time may lie outside.
@@ -34,14 +34,15 @@ def reason(as_of: datetime | None = None, min_time: datetime = FIRST_HOUR) -> Co
     """
     earliest = _ms(min_time - EARLY_SKEW)
     latest = _ms((as_of or params.now()) + LATE_SKEW)
-    rules = [(F.col("parse_error"), PARSE_ERROR)]
+    rules = [("parse_error", PARSE_ERROR)]
     for name in ("px", "sz"):
-        rules.append((~is_finite(F.col(name)), f"{name}_not_finite"))
-        rules.append((F.col(name) <= 0, f"{name}<=0"))
+        rules.append((f"NOT {finite_sql(name)}", f"{name}_not_finite"))
+        rules.append((f"{name} <= 0", f"{name}<=0"))
     for name in ("start_position", "closed_pnl", "fee"):
-        rules.append((~is_finite(F.col(name)), f"{name}_not_finite"))
-    rules.append((~F.col("time_ms").between(earliest, latest), "bad_time"))
-    return F.coalesce(*[F.when(broken, F.lit(name)) for broken, name in rules])
+        rules.append((f"NOT {finite_sql(name)}", f"{name}_not_finite"))
+    rules.append((f"time_ms NOT BETWEEN {earliest} AND {latest}", "bad_time"))
+    cases = " ".join(f"WHEN {broken} THEN '{name}'" for broken, name in rules)
+    return F.expr(f"CASE {cases} END")
 
 
 def validate(
@@ -76,7 +77,9 @@ def route(validated: DataFrame) -> DataFrame:
         ).otherwise(F.col("hash")),
     }
     # Valid rows hold finite numbers only, so this leaves them alone.
-    changed |= {name: finite_or_null(F.col(name)) for name in _NUMBERS}
+    changed |= {
+        name: F.expr(f"CASE WHEN {finite_sql(name)} THEN {name} END") for name in _NUMBERS
+    }
     return validated.withColumns(changed)
 
 

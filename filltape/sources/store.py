@@ -121,6 +121,12 @@ def hours(spark: SparkSession, root: str) -> DataFrame:
     return read_table(spark, root, HOURS)
 
 
+def register(spark: SparkSession, root: str) -> None:
+    """Make the tables available to SQL as ``fills`` and ``fills_quarantine``."""
+    fills(spark, root).createOrReplaceTempView("fills")
+    quarantine(spark, root).createOrReplaceTempView("fills_quarantine")
+
+
 def runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RUNS).parquet(runs_path(root))
 

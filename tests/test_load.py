@@ -201,6 +201,8 @@ def test_stored_tables_answer_queries_with_pruned_days(spark, tmp_path):
     assert store.fills(spark, root, start, end).select(*FILL_COLUMNS).count() == 5
     counts = [tuple(row) for row in stats.partition_counts(whole).collect()]
     assert counts == [("20250727", 5), ("20250728", 5)]
+    store.register(spark, root)
+    assert spark.sql("SELECT max(px) FROM fills WHERE coin = 'BTC'").first()[0] == 13.0
     span = stats.db_stats(whole, store.quarantine(spark, root)).first()
     assert (span["fills_count"], span["quarantine_count"]) == (10, 0)
 
