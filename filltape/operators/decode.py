@@ -60,12 +60,12 @@ def _maybe_mistyped(line: Column) -> Column:
     could hide a key from it, so a line with a backslash is never proven.
     """
     keys = "|".join(TEXT_KEYS + OPTIONAL_KEYS + ENVELOPE_TEXT_KEYS)
-    bare_value = rf':(?=\s*+[^"\sn])(?<="(?:{keys})":)'
-    blank_before_colon = r"\s:"
-    bare_address = r'\[\s*+[^"\s\[\]]'
-    return F.contains(line, F.lit("\\")) | line.rlike(
-        f"{bare_value}|{blank_before_colon}|{bare_address}"
-    )
+    # One scan over the line that stops at three characters only and looks around there.
+    bare_value = rf'(?<=:)(?=\s*+[^"\sn])(?<="(?:{keys})":)'
+    blank_before_colon = r"(?<=\s:)"
+    bare_address = r'(?<=\[)(?=\s*+[^"\s\[\]])'
+    escape = r"(?<=\\)"
+    return line.rlike(rf"[:\[\\](?:{bare_value}|{blank_before_colon}|{bare_address}|{escape})")
 
 
 def _kind(value: str, path: str) -> str:

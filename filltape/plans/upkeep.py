@@ -55,7 +55,7 @@ def recluster(spark: SparkSession, root: str, from_day: str, to_day: str) -> int
     if not chosen:
         return 0
     total = sum(files.size(spark, path) for path in chosen.values())
-    rows = store.read_table(spark, root, store.FILLS, sorted(chosen))
+    rows = store.read_table(spark, root, store.FILLS, sorted(chosen.values()))
     ordered = clustered(rows, total // _TARGET_FILE_BYTES + 1)
     store.write_tables(ordered.withColumn("kind", F.lit(store.FILLS)), root)
     return len(chosen)

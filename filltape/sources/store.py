@@ -76,18 +76,16 @@ def ensure_tables(spark: SparkSession, root: str) -> None:
 
 
 def read_table(
-    spark: SparkSession, root: str, kind: str, days: list[date] | None = None
+    spark: SparkSession, root: str, kind: str, days: list[str] | None = None
 ) -> DataFrame:
-    """One stored table; with ``days`` only the folders of these days are listed."""
+    """One stored table, or some of its day folders; only those are listed then."""
     reader = spark.read.schema(_SCHEMAS[kind])
     base = table_path(root, kind)
     if days is None:
         return reader.parquet(base)
-    names = ",".join(f"event_date={day.isoformat()}" for day in days)
-    present = files.matching(spark, f"{base}/{{{names}}}") if days else []
-    if not present:
+    if not days:
         return spark.createDataFrame([], _SCHEMAS[kind])
-    return reader.option("basePath", base).parquet(*present)
+    return reader.option("basePath", base).parquet(*days)
 
 
 def fills(
@@ -98,14 +96,15 @@ def fills(
         return read_table(spark, root, FILLS)
     start, end = params.time_range(start, end)
     last = (end - timedelta(microseconds=1)).date()
-    span = (last - start.date()).days + 1
-    return read_table(spark, root, FILLS, [start.date() + timedelta(days=i) for i in range(span)])
+    days = stored_days(spark, root, FILLS)
+    inside = [path for day, path in sorted(days.items()) if start.date() <= day <= last]
+    return read_table(spark, root, FILLS, inside)
 
 
 def newest_fill(spark: SparkSession, root: str) -> DataFrame:
     """``max_time`` of the fills, in one row. Only the newest day that holds rows is read."""
-    for day in sorted(stored_days(spark, root, FILLS), reverse=True):
-        newest = max_fill_time(read_table(spark, root, FILLS, [day]))
+    for _, path in sorted(stored_days(spark, root, FILLS).items(), reverse=True):
+        newest = max_fill_time(read_table(spark, root, FILLS, [path]))
         if newest.first()["max_time"] is not None:
             return newest
     return max_fill_time(spark.createDataFrame([], _SCHEMAS[FILLS]))

@@ -34,11 +34,21 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=lambda row: tuple(str(v) for v in row))
 
 
+TYPES = {
+    "BIGINT": "bigint",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
 def compare(spark, con, sf_dir: str, name: str) -> int:
     """Number of rows both engines agree on; fails on any difference."""
-    spark_rows = contract.queries()[name](spark, sf_dir).toPandas()
-    duck_rows = con.sql(contract.oracle_sql()[name]).df()
-    assert sorted(spark_rows.columns) == sorted(duck_rows.columns), name
+    frame, relation = contract.queries()[name](spark, sf_dir), con.sql(contract.oracle_sql()[name])
+    mine, theirs = dict(frame.dtypes), dict(zip(relation.columns, relation.types, strict=True))
+    assert mine == {column: TYPES[str(kind)] for column, kind in theirs.items()}, name
+    spark_rows, duck_rows = frame.toPandas(), relation.df()
     left, right = normal(spark_rows), normal(duck_rows)
     assert len(left) == len(right), f"{name}: {len(left)} rows, expected {len(right)}"
     for mine, theirs in zip(left, right, strict=True):
