@@ -77,10 +77,10 @@ def _drop_leftovers(
         left = (
             store.read_table(spark, root, kind)
             .filter(span)
-            .join(reloaded, "src_hour", "left_semi")
             .groupBy("event_date", "src_hour")
             .agg(F.count_if(F.col("load_id") == load_id).alias("written"))
             .filter(F.col("written") == 0)
+            .join(reloaded, "src_hour", "left_semi")
             .collect()
         )
         for row in left:
@@ -99,7 +99,10 @@ def load_between(
     as_of: datetime | None = None,
     min_time: datetime = validate.FIRST_HOUR,
 ) -> DataFrame:
-    """Load the hours of ``[start, end)`` and return their status, one row per hour."""
+    """Load the hours of ``[start, end)`` and return their status, one row per hour.
+
+    The status is read from what was stored, so use it before loading the same hours again.
+    """
     expected = hour_keys_between(spark, prefix, start, end)
     store.ensure_tables(spark, root)
     load_id, began = uuid.uuid4().hex, params.now()
