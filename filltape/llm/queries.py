@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filltape.llm import chat, quality, shards, url_rules
+from filltape.llm import bpe, chat, packing, quality, shards, url_rules
 from filltape.llm.common import table
 
 URL_RULES = [
@@ -19,6 +20,23 @@ URL_RULES = [
 SHARDS = 40
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
+    pattern = public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = docs.select("doc_id", bpe.encode(F.col("text"), ranks, pattern).alias("ids"))
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), ranks, pattern))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
@@ -44,6 +62,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, packing.word_count(F.col("text")))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
@@ -67,7 +90,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe": op4_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_packing": op6_packing,
     "op7_url_rules": op7_url_rules,
     "op8_shards": op8_shards,
     "op9_quality": op9_quality,
