@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filltape.llm import bpe, chat, packing, quality, shards, url_rules
+from filltape.llm import (
+    bpe,
+    chat,
+    near_dedup,
+    nearest,
+    packing,
+    quality,
+    shards,
+    toxicity,
+    url_rules,
+)
 from filltape.llm.common import table
 
 URL_RULES = [
@@ -20,6 +30,18 @@ URL_RULES = [
 SHARDS = 40
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -90,6 +112,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_near_dedup": op2_near_dedup,
+    "op3_nearest": op3_nearest,
     "op4_bpe": op4_bpe,
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
