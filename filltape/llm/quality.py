@@ -86,11 +86,12 @@ def repeated_words(windows: Column, width: int) -> Column:
 
 
 def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` (never null) and the hashes of its words in order."""
+    """``doc_id, text`` (never null), the hashes of its words in order, the input as ``row``."""
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.transform(words(F.col(text_col)), lambda word: F.xxhash64(word)).alias("hashes"),
+        F.struct(*(docs[name] for name in docs.columns)).alias("row"),
     )
 
 
@@ -162,12 +163,12 @@ def judge(
     threshold: float = THRESHOLD,
     trusted_rows: int = TRUSTED_ROWS,
 ) -> DataFrame:
-    """One row per document: counts, ``base_failed``, ``llr`` and ``kept``.
+    """One row per document: counts, ``base_failed``, ``llr``, ``kept``, its input as ``row``.
 
     ``labels`` has ``doc_id`` and ``quality`` (1 is trusted). Defined results: a null text
     is empty; an empty text has an ``llr`` of 0 and fails for its number of words; without
     trusted documents every ratio is 0 and only the base rules decide; repeated rows and null ids are judged one by one; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns only appear inside ``row``.
     """
     rows = hashed(docs, id_col, text_col)
     ratios = log_ratios(rows, trusted_ids(labels, trusted_rows))
@@ -180,6 +181,7 @@ def judge(
         duplicate_lines(text).alias("n_dup_lines"),
         _windows(F.col("hashes"), WINDOW).alias("windows"),
         ngrams(F.col("hashes")).alias("grams"),
+        "row",
     ).withColumn("ratios", ratios.scalar())
     total = F.aggregate(
         "grams", F.lit(0.0), lambda sum_, bucket: sum_ + F.get(F.col("ratios"), bucket)
@@ -192,6 +194,7 @@ def judge(
         "n_dup_lines",
         repeated_words(F.col("windows"), WINDOW).alias("n_repeat_words"),
         F.when(F.size("grams") == 0, 0.0).otherwise(total / F.size("grams")).alias("llr"),
+        "row",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")

@@ -16,6 +16,7 @@ from filltape.llm import (
     packing,
     quality,
     shards,
+    substring_dedup,
     toxicity,
     url_rules,
 )
@@ -108,7 +109,20 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.judge(docs, labels)
+    return quality.judge(docs, labels).drop("row")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda total, span: total + span["length"]
+    )
+    return parsed.select(
+        "doc_id",
+        "n_words",
+        removed.alias("n_removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -121,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_rules": op7_url_rules,
     "op8_shards": op8_shards,
     "op9_quality": op9_quality,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _ESCAPE = r"""regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"""
