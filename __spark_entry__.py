@@ -19,6 +19,13 @@ from filltape.plans import runs, sync
 from filltape.schema import FILL_COLUMNS
 from filltape.sources import hours
 
+# The operators for training text are optional: the rest works without them.
+try:
+    import corpus_pipeline
+    from filltape.llm import queries as llm
+except ImportError:
+    corpus_pipeline = llm = None
+
 # The whole span any table may have, and a window inside the generated data.
 FIRST, LAST = datetime(2000, 1, 1), datetime(2100, 1, 1)
 START, END = datetime(2024, 1, 5, 7, 30), datetime(2024, 1, 21)
@@ -133,6 +140,10 @@ def entry(spark: SparkSession) -> DataFrame:
     return bars.time_bars(fills, "BTC", "1h", FIRST, LAST)
 
 
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     table = {
         "get_fills_range": lambda f: lookup.get_fills(f, START, END),
@@ -187,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             validate.valid_fills(_validated(spark, sf_dir)), _quarantine(spark, sf_dir)
         ),
         "normalize_date": _normalize_date,
+        **_llm_queries(),
     }
 
 
@@ -454,4 +466,4 @@ def oracle_sql() -> dict[str, str]:
     }
     return {name: f"WITH {_FILLS_SQL} {sql}" for name, sql in fills.items()} | {
         name: f"WITH {_INGEST_SQL} {sql}" for name, sql in ingest.items()
-    }
+    } | (llm.ORACLE_SQL if llm else {})
