@@ -127,8 +127,8 @@ def _iso(time: Column) -> Column:
 def raw_lines(source: DataFrame, faults: bool = True) -> DataFrame:
     """Block lines ``(key, line_no, line)`` of eight events each, in the raw input format.
 
-    With ``faults`` some fills get wrong values, some blocks lack a key or are cut
-    off, and some carry keys that are not part of the format.
+    With ``faults`` some fills get wrong values, some blocks lack a key, are cut off or
+    have another member behind them, and some carry keys that are not part of the format.
     """
     values = _FAULTY_VALUES if faults else _VALUES
     body = ", ".join(f"'{key}', {sql.format(**values)}" for key, sql in _RAW_FILL.items())
@@ -156,7 +156,11 @@ def raw_lines(source: DataFrame, faults: bool = True) -> DataFrame:
         F.expr(f"""concat(',"events":[', array_join(transform(fills, {pair}), ','), ']}}')"""),
     )
     if faults:
-        line = F.when(F.expr("block_number % 97 = 0"), F.substring(line, 1, 20)).otherwise(line)
+        line = (
+            F.when(F.expr("block_number % 97 = 0"), F.substring(line, 1, 20))
+            .when(F.expr("block_number % 83 = 2"), F.concat(line, F.lit(',"x":1')))
+            .otherwise(line)
+        )
     return blocks.select(
         F.concat(F.lit(f"{KEY_PREFIX}/"), hour_label(F.col("first"), "/"), F.lit(".lz4")).alias(
             "key"

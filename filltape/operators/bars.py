@@ -55,7 +55,7 @@ def vwap_by_coin(
 
 def vwap(df: DataFrame, coin: str, interval: str, start: datetime, end: datetime) -> DataFrame:
     """VWAP of one coin, in time order."""
-    coin, (start, end) = params.required_text(coin, "coin"), params.time_range(start, end)
+    coin, (start, end) = params.text(coin, "coin"), params.time_range(start, end)
     rows = vwap_by_coin(df, interval, start, end, coin)
     return rows.drop("coin").orderBy("time")
 
@@ -99,7 +99,7 @@ def time_bars(
     df: DataFrame, coin: str, interval: str, start: datetime, end: datetime
 ) -> DataFrame:
     """OHLCV bars of one coin, in time order."""
-    coin, (start, end) = params.required_text(coin, "coin"), params.time_range(start, end)
+    coin, (start, end) = params.text(coin, "coin"), params.time_range(start, end)
     rows = time_bars_by_coin(df, interval, start, end, coin)
     return rows.drop("coin").orderBy("time")
 

@@ -52,6 +52,12 @@ def _parse_block(line: Column) -> Column:
     return F.from_json(wrapped, _BLOCK_TYPE, _JSON)
 
 
+def _one_value(line: Column) -> Column:
+    """Whether a line is one JSON value, and not a list of them or the inside of an object."""
+    inside = F.json_array_length(F.concat(F.lit("["), line, F.lit("]")))
+    return F.coalesce(inside == 1, F.lit(False))
+
+
 def _maybe_mistyped(line: Column) -> Column:
     """Whether a text key might hold something other than text.
 
@@ -135,7 +141,7 @@ def decode_blocks(lines: DataFrame) -> DataFrame:
         .select(
             *kept,
             "fills",
-            (~(_complete() & typed)).alias("parse_error"),
+            (~(_complete() & typed & _one_value(line))).alias("parse_error"),
             block.alias("block"),
             key_hour_start(F.col("key")).alias("hour_start"),
         )

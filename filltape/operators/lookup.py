@@ -52,9 +52,9 @@ def get_fills(
 ) -> DataFrame:
     """Fills of a time window, with optional coin, wallet, side and taker filters."""
     wanted: list[Column] = []
-    if (name := params.optional_text(coin, "coin")) is not None:
+    if (name := params.text(coin, "coin", may_be_absent=True)) is not None:
         wanted.append(F.col("coin") == name)
-    if (name := params.optional_text(wallet, "wallet")) is not None:
+    if (name := params.text(wallet, "wallet", may_be_absent=True)) is not None:
         wanted.append(F.col("address") == name)
     if (buy := params.side_is_buy(side)) is not None:
         wanted.append(F.col("is_buy") == buy)
@@ -68,7 +68,7 @@ def get_fills(
 
 def get_fill_by_hash(df: DataFrame, hash: str) -> DataFrame:
     """All fills of one transaction."""
-    return project(df.filter(F.col("hash") == params.required_text(hash, "hash")))
+    return project(df.filter(F.col("hash") == params.text(hash, "hash")))
 
 
 def get_fills_by_oid(df: DataFrame, oid: int) -> DataFrame:

@@ -18,7 +18,7 @@ from filltape.schema import WALLET_PER_COIN, WALLET_SUMMARY
 
 
 def _of_wallet(df: DataFrame, wallet: str, start: datetime, end: datetime) -> DataFrame:
-    wallet = params.required_text(wallet, "wallet")
+    wallet = params.text(wallet, "wallet")
     return between(df, start, end).filter(F.col("address") == wallet)
 
 

@@ -21,17 +21,6 @@ from filltape.schema import QUARANTINE_COLUMNS
 from filltape.sources import archive, files, store
 from filltape.sources.hours import hour_keys_between, key_hour_start
 
-# Lines of one hour that are parsed together. A frame can only be decoded from
-# its start, but parsing is most of the work, so a huge hour is cut into slices.
-SLICE_LINES = 10_000
-
-
-def spread(lines: DataFrame) -> DataFrame:
-    """Spread the slices of all hours evenly over tasks; adaptive execution sets their number."""
-    part = F.floor(F.col("line_no") / SLICE_LINES).alias("slice")
-    return lines.withColumn("slice", part).hint("rebalance", "key", "slice").drop("slice")
-
-
 def table_rows(
     lines: DataFrame,
     load_id: str,
@@ -115,7 +104,7 @@ def load_between(
         objects = archive.existing_objects(spark, source, prefix, start, end)
         if objects:
             lines = archive.decode_lines(archive.read_hours(spark, objects))
-            store.write_tables(table_rows(spread(lines), load_id, as_of, min_time), root)
+            store.write_tables(table_rows(lines, load_id, as_of, min_time), root)
         # Bounds on the partition column keep this from opening the other hours.
         span = F.col("src_hour").between(
             *[f"{params.utc(value):%Y%m%d%H}" for value in (start, end)]

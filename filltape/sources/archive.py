@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import codecs
-import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +28,6 @@ _WHITE = (
 )
 
 
-# Objects up to this size travel from the scan to the decoder as one value;
-# larger ones are streamed by the decoder itself.
-INLINE_BYTES = 256 << 20
-
-
 class Object(NamedTuple):
     """One archive object: its key, full path and size."""
 
@@ -65,66 +58,46 @@ def existing_objects(
     return objects
 
 
-def read_hours(
-    spark: SparkSession, objects: list[Object], inline_bytes: int = INLINE_BYTES
-) -> DataFrame:
-    """``key, path, content`` of the given objects; large ones come without content.
+def read_hours(spark: SparkSession, objects: list[Object]) -> DataFrame:
+    """``key, content`` of the given objects, all through Spark's own file system.
 
-    An object that cannot be read is left out, so its hour can be reported as
-    failed while the rest go on; Spark still fails the job when access is denied.
+    An object that is missing or cannot be read is left out, so its hour can be reported
+    as failed while the rest go on. Access that is denied ends the load: Spark's reader
+    would skip such objects one by one, so the first one is opened here. An object that
+    is too large for one value fails the job.
     """
-    large = [(o.key, o.path, None) for o in objects if o.length > inline_bytes]
-    small = [o for o in objects if o.length <= inline_bytes]
-    frame = spark.createDataFrame(large, "key string, path string, content binary")
-    if large:
-        # One task each: a frame can only be decoded from its start.
-        frame = frame.repartition(len(large), "key")
-    if small:
-        # All paths end in <prefix>/<YYYYMMDD>/<HH>.lz4, so the key is a fixed number of segments.
-        depth = small[0].key.count("/") + 1
-        inline = (
-            spark.read.format("binaryFile")
-            .option("ignoreCorruptFiles", "true")
-            .option("ignoreMissingFiles", "true")
-            .load([o.path for o in small])
-            .select(F.substring_index("path", "/", -depth).alias("key"), "path", "content")
-        )
-        frame = inline.unionByName(frame) if large else inline
-    return frame
-
-
-def _open(path: str, content: pa.Buffer | None) -> pa.NativeFile:
-    if content is not None:
-        return pa.BufferReader(content)
-    uri = re.sub("^file:/+", "file:///", re.sub("^s3[an]:", "s3:", path))
-    system, name = pafs.FileSystem.from_uri(uri)
-    return system.open_input_stream(name, compression=None)
-
-
-def _decompressed(path: str, content: pa.Buffer | None) -> Iterator[bytes]:
-    with _open(path, content) as source, pa.CompressedInputStream(source, "lz4") as stream:
+    if not objects:
+        return spark.createDataFrame([], "key string, content binary")
+    files.probe(spark, objects[0].path)
+    # All paths end in <prefix>/<YYYYMMDD>/<HH>.lz4, so the key is a fixed number of segments.
+    depth = objects[0].key.count("/") + 1
+    return (
+        spark.read.format("binaryFile")
+        .option("ignoreCorruptFiles", "true")
+        .option("ignoreMissingFiles", "true")
+        .load([o.path for o in objects])
+        .select(F.substring_index("path", "/", -depth).alias("key"), "content")
+    )
+
+
+def _decompressed(content: pa.Buffer) -> Iterator[bytes]:
+    with pa.CompressedInputStream(pa.BufferReader(content), "lz4") as stream:
         while chunk := stream.read(_CHUNK_BYTES):
             yield chunk
 
 
-def _check(path: str, content: pa.Buffer | None) -> str:
+def _check(content: pa.Buffer) -> str:
     """Read the object to its end without keeping anything.
 
     Decoding is cheap next to parsing, and knowing the outcome up front means no
     line of a broken hour is ever passed on.
     """
-    try:
-        with _open(path, content) as source:
-            if not source.read(1):
-                return "failed_decompress"
-    except PermissionError:
-        raise
-    except OSError:
-        return "failed_download"
+    if not content.size:
+        return "failed_decompress"
     text = codecs.getincrementaldecoder("utf-8")()
     readable = True
     try:
-        for chunk in _decompressed(path, content):
+        for chunk in _decompressed(content):
             try:
                 if readable:
                     text.decode(chunk)
@@ -140,10 +113,10 @@ def _check(path: str, content: pa.Buffer | None) -> str:
     return "processed" if readable else "failed_ingest"
 
 
-def _line_groups(path: str, content: pa.Buffer | None) -> Iterator[list[str]]:
+def _line_groups(content: pa.Buffer) -> Iterator[list[str]]:
     """Complete lines, one group per decoded chunk; a line may span any number of chunks."""
     pending: list[bytes] = []
-    for chunk in _decompressed(path, content):
+    for chunk in _decompressed(content):
         head, newline, tail = chunk.rpartition(b"\n")
         if not newline:
             pending.append(chunk)
@@ -157,10 +130,9 @@ def _line_groups(path: str, content: pa.Buffer | None) -> Iterator[list[str]]:
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(name) for name in ("key", "path", "content")]
-        for key, where, content in zip(*columns, strict=True):
-            name, path, buffer = key.as_py(), where.as_py(), content.as_buffer()
-            status = _check(path, buffer)
+        for key, content in zip(batch.column("key"), batch.column("content"), strict=True):
+            name, buffer = key.as_py(), content.as_buffer()
+            status = _check(buffer)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name]),
@@ -173,7 +145,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if status != "processed":
                 continue
             number = 0
-            for group in _line_groups(path, buffer):
+            for group in _line_groups(buffer):
                 kept = [
                     (number + i, line) for i, line in enumerate(group, 1) if line.strip(_WHITE)
                 ]
@@ -192,7 +164,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decode_lines(objects: DataFrame) -> DataFrame:
-    """Lines ``key, status, line_no, line`` of a frame ``key, path, content``.
+    """Lines ``key, status, line_no, line`` of a frame ``key, content``.
 
     Lines are numbered from 1; blank ones count but are left out. Every object
     also yields one row without a line that holds its outcome. Of an object that

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -17,6 +18,20 @@ def matching(spark: SparkSession, pattern: str) -> dict[str, int]:
     return {status.getPath().toString(): status.getLen() for status in found}
 
 
+def probe(spark: SparkSession, path: str) -> None:
+    """Open a file; raises ``PermissionError`` if that is not allowed.
+
+    Any other fault is left to whoever reads the file.
+    """
+    fs, where = _resolve(spark, path)
+    try:
+        fs.open(where).close()
+    except Py4JJavaError as error:
+        kind = error.java_exception.getClass().getName()
+        if kind.rsplit(".", 1)[-1] in ("AccessDeniedException", "AccessControlException"):
+            raise PermissionError(f"no access to {path}") from error
+
+
 def make_dirs(spark: SparkSession, path: str) -> None:
     fs, where = _resolve(spark, path)
     fs.mkdirs(where)

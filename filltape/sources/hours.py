@@ -15,12 +15,10 @@ def hour_range(spark: SparkSession, start: datetime, end: datetime) -> DataFrame
     """One row ``hour_start`` per hour of the half-open, hour-aligned window."""
     start, end = params.utc(start), params.utc(end)
     if end < start:
-        raise ValueError(f"invalid hourly range: end ({end}) is before start ({start})")
+        raise ValueError(f"hours run backwards: {start} to {end}")
     for name, value in (("start", start), ("end", end)):
         if (value.minute, value.second, value.microsecond) != (0, 0, 0):
-            raise ValueError(
-                f"invalid hourly range: {name} ({value}) is not aligned to hour boundary"
-            )
+            raise ValueError(f"{name} of an hour range must be a full hour, got {value}")
     hours = (end - start) // timedelta(hours=1)
     first = instant(start)
     return spark.range(hours).select(

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Most rows the table of splits may have to be broadcast; at three numbers and
-# a file name each that is a few hundred megabytes at the very most.
-_BROADCAST_SPLITS = 100_000
-
-
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """``key, line_no, line`` of every non-blank line below ``path``.
 
@@ -34,10 +29,6 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
         "split",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
     )
-    # A split never holds less than one partition's share, except the last of a file.
-    splits = text.rdd.getNumPartitions() + len(text.inputFiles())
-    if splits <= _BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
     return (
         rows.join(offsets, ["file", "split"])
         .select(

@@ -134,11 +134,13 @@ def write_tables(rows: DataFrame, root: str) -> None:
     """Write rows of any ``kind``, replacing each partition they touch as a whole.
 
     Spark writes to a staging folder and moves complete partitions when all
-    tasks are done, so readers never see half an hour.
+    tasks are done, so readers never see half an hour. Rows are gathered by partition
+    first, so a small hour is one file; adaptive execution splits a large one.
     """
     keys = ["kind", *PARTITION_COLUMNS]
     (
-        rows.sortWithinPartitions(*keys, *[name for name in CLUSTERING if name in rows.columns])
+        rows.hint("rebalance", *keys)
+        .sortWithinPartitions(*keys, *[name for name in CLUSTERING if name in rows.columns])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .options(**_PARQUET_OPTIONS)
@@ -180,4 +182,4 @@ def export(df: DataFrame, path: str) -> None:
     elif suffix == "csv":
         df.write.mode("overwrite").option("header", True).csv(path)
     else:
-        raise ValueError("output path must end with .parquet or .csv")
+        raise ValueError(f"cannot tell the format of {path!r}: use the suffix .parquet or .csv")

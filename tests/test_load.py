@@ -12,7 +12,7 @@ from filltape import fixtures
 from filltape.operators import bars, decode, lookup, stats, validate
 from filltape.plans import load, runs, upkeep
 from filltape.schema import FILL_COLUMNS
-from filltape.sources import archive, store
+from filltape.sources import archive, files, store
 from filltape.sources.jsonl import read_jsonl
 from tests.blocks import block, fill, lz4
 from tests.blocks import store as put
@@ -115,22 +115,44 @@ def test_objects_that_cannot_be_read_fail_their_hour_only(spark, tmp_path):
     }
 
 
-def test_large_objects_are_streamed(spark, tmp_path):
+def test_missing_and_broken_objects_fail_alone_and_denied_access_ends_the_run(
+    spark, tmp_path, monkeypatch
+):
     put_hour(tmp_path, "00", block(fill(time=at(0))))
     put_hour(tmp_path, "01", *[block(fill(time=at(1), hash=str(i))) for i in range(300)])
     put_hour(tmp_path, "02", raw=b"junk" * 1000)
     span = datetime(2025, 7, 27), datetime(2025, 7, 28)
     objects = archive.existing_objects(spark, str(tmp_path / "source"), "a/b", *span)
-    gone = archive.Object("a/b/20250727/03.lz4", f"file:{tmp_path}/03.lz4", 1000)
-    frame = archive.read_hours(spark, [*objects, gone], inline_bytes=600)
-    assert frame.filter("content is null").count() == 3
-    decoded = archive.decode_lines(frame).groupBy("key", "status").count().collect()
-    assert sorted((row["key"][-6:-4], row["status"], row["count"]) for row in decoded) == [
+    decoded = archive.decode_lines(archive.read_hours(spark, objects))
+    counts = decoded.groupBy("key", "status").count().collect()
+    assert sorted((row["key"][-6:-4], row["status"], row["count"]) for row in counts) == [
         ("00", "processed", 2),
         ("01", "processed", 301),
         ("02", "failed_decompress", 1),
-        ("03", "failed_download", 1),
     ]
+    assert archive.read_hours(spark, []).collect() == []
+    files.probe(spark, str(tmp_path / "nothing there"))
+
+    def deny(spark, path):
+        raise PermissionError(path)
+
+    monkeypatch.setattr(files, "probe", deny)
+    with pytest.raises(PermissionError):
+        run(spark, tmp_path)
+    latest = runs.ingest_status(store.runs(spark, str(tmp_path / "root"))).first()
+    assert latest["state"] == runs.FAILED_RUN
+
+
+def test_writing_gathers_small_hours_into_one_file(spark, tmp_path):
+    start = datetime(2025, 7, 27)
+    rows = spark.range(4800).select(
+        (F.lit(start) + F.make_dt_interval(hours=(F.col("id") % 48).cast("int"))).alias("time"),
+        F.lit("BTC").alias("coin"),
+    )
+    frame = rows.repartition(8).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    store.write_fills(frame, str(tmp_path / "root"))
+    names = list((tmp_path / "root").rglob("*.parquet"))
+    assert len({path.parent for path in names}) == 48 and len(names) <= 60
 
 
 def test_reload_replaces_the_hour(spark, tmp_path):

@@ -60,7 +60,7 @@ def test_routing_and_counters(spark):
 
 
 def test_quarantined_rows(spark):
-    own = datetime(2025, 7, 27, 8, 50, 10, 273000)
+    own = datetime(2025, 7, 27, 8, 41, 7, 625000)
     rows = validated(
         spark,
         block(
@@ -95,7 +95,7 @@ def test_parse_error_hash(spark):
 
 def test_bounds_follow_the_arguments(spark):
     parsed = decode.parse_lines(lines(spark, block(fill())))
-    early = validate.validate(parsed, datetime(2025, 7, 26, 8, 50, 10), datetime(2020, 1, 1))
+    early = validate.validate(parsed, datetime(2025, 7, 26, 8, 41, 7), datetime(2020, 1, 1))
     assert early.first()["reason"] == "bad_time"
     later = validate.validate(parsed, AS_OF, datetime(2025, 7, 27, 9) + timedelta(days=1))
     assert later.first()["reason"] == "bad_time"
