@@ -19,10 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filltape.llm.common import stored
+
 BUCKETS = 1 << 18
 FACTORS = 4
 #: Labelled rows that are learned from, at most; those with the least hash of their id.
@@ -154,6 +157,28 @@ def _terms(texts: pa.Array) -> pa.Array:
     return pa.array([terms(text.as_py()) for text in texts], pa.list_(pa.int32()))
 
 
+def _telling_terms(sample: DataFrame) -> Broadcast:
+    """Which buckets pass ``MIN_TEXTS`` and ``MIN_Z``; the rest stays on the executors.
+
+    The driver gets the numbers of those buckets, of which there are ``BUCKETS`` at most.
+    """
+    spark = sample.sparkSession
+    whole = sample.agg(F.avg("toxic").alias("share"), F.count("*").alias("n")).first()
+    mask = np.zeros(BUCKETS, bool)
+    if whole["n"] and 0 < whole["share"] < 1:
+        share = whole["share"]
+        counts = (
+            sample.select("toxic", F.explode("terms").alias("term"))
+            .groupBy("term")
+            .agg(F.count("*").alias("texts"), F.sum("toxic").alias("marked"))
+            .filter(F.col("texts") >= MIN_TEXTS)
+        )
+        spread = F.sqrt(F.col("texts") * share * (1 - share))
+        far = F.abs(F.col("marked") - F.col("texts") * share) >= MIN_Z * spread * (1 - 1e-9)
+        mask[counts.filter(far).select("term").toArrow()["term"].to_numpy()] = True
+    return spark.sparkContext.broadcast(mask)
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -164,8 +189,8 @@ def learn(
     """Fit on labelled rows that are not held out: ``labels`` has ``doc_id, toxic``.
 
     Null labels are skipped and a document labelled twice has the greater label.
-    ``sample_rows`` bounds what reaches the driver. Rows of ``docs`` with the same id are
-    all learned from, as long as the bound allows.
+    ``sample_rows`` bounds the rows that are learned from; of these only the terms that
+    tell something reach the driver. Of several texts with one id one is learned from.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -176,13 +201,22 @@ def learn(
         .limit(sample_rows)
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = (
+    sample = stored(
         texts.join(F.broadcast(known), "doc_id")
         .select("doc_id", "toxic", _terms("text").alias("terms"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "terms")
-        .limit(sample_rows)
-        .toArrow()
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")),
+        "sample",
     )
+    telling = _telling_terms(sample)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def only_telling(rows: pa.Array) -> pa.Array:
+        kept = [np.asarray(r.values)[telling.value[np.asarray(r.values)]] for r in rows]
+        return pa.array(kept, pa.list_(pa.int32()))
+
+    learned = sample.select("doc_id", "toxic", only_telling("terms").alias("terms"))
+    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     found = sample["terms"].combine_chunks()
     ends, values = found.offsets.to_numpy(), found.values.to_numpy()
     split = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
