@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from filltape.llm.common import SPACE, SPACE_CHARS, stored
+
 EXACT = 512
 BUCKETS = 16
 #: Tokens of a batch, padding included.
@@ -28,7 +30,8 @@ SLICE_ROWS = 200_000
 
 def word_count(text: Column) -> Column:
     """Words of a text; a null text has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
 def _cell(length: Column) -> Column:
@@ -98,9 +101,13 @@ def pack(
     any other; rows with equal ids get places of their own, null ids come first; an empty
     table gives no rows; other columns are ignored.
     """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(length, F.lit(0)).cast("long").alias("length"),
+    # Two numbers a row: no later step reads the texts again.
+    rows = stored(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.coalesce(length, F.lit(0)).cast("long").alias("length"),
+        ),
+        "lengths",
     )
     cells = histogram(rows)
     ends = boundaries(cells, buckets)
