@@ -167,38 +167,59 @@ def judge(
 
     ``labels`` has ``doc_id`` and ``quality`` (1 is trusted). Defined results: a null text
     is empty; an empty text has an ``llr`` of 0 and fails for its number of words; without
-    trusted documents every ratio is 0 and only the base rules decide; repeated rows and null ids are judged one by one; an empty
-    table gives no rows; other columns only appear inside ``row``.
+    trusted documents every ratio is 0 and only the base rules decide; repeated rows and
+    null ids are judged one by one; an empty table gives no rows; other columns only appear inside ``row``.
     """
     rows = hashed(docs, id_col, text_col)
     ratios = log_ratios(rows, trusted_ids(labels, trusted_rows))
     text = F.col("text")
-    counted = rows.select(
+
+    def ratio(grams: Column) -> Column:
+        total = F.aggregate(
+            grams, F.lit(0.0), lambda sum_, bucket: sum_ + F.get(F.col("ratios"), bucket)
+        )
+        return F.when(F.size(grams) == 0, 0.0).otherwise(total / F.size(grams))
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < MIN_WORDS) | (
+            100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"]
+        )
+        fields = [m[name].alias(name) for name in ("n_words", "n_repeat_words", "llr")]
+        kept = ~failed & (m["llr"] >= threshold)
+        return F.struct(*fields, failed.alias("base_failed"), kept.alias("kept"))
+
+    # One expression from the words to the verdict: a filter on the verdict that moves
+    # below the projections takes one copy of it along, and not one per use of a part.
+    measured = let(
+        F.col("hashes"),
+        lambda h: let(
+            F.struct(
+                F.size(h).cast("long").alias("n_words"),
+                let(_windows(h, WINDOW), lambda w: repeated_words(w, WINDOW)).alias(
+                    "n_repeat_words"
+                ),
+                let(ngrams(h), ratio).alias("llr"),
+            ),
+            judged,
+        ),
+    )
+    counted = rows.withColumn("ratios", ratios.scalar()).select(
         "doc_id",
-        F.size("hashes").cast("long").alias("n_words"),
         F.length(_without(text, SPACE_CHARS)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
-        _windows(F.col("hashes"), WINDOW).alias("windows"),
-        ngrams(F.col("hashes")).alias("grams"),
+        measured.alias("measured"),
         "row",
-    ).withColumn("ratios", ratios.scalar())
-    total = F.aggregate(
-        "grams", F.lit(0.0), lambda sum_, bucket: sum_ + F.get(F.col("ratios"), bucket)
     )
-    scored = counted.select(
+    return counted.select(
         "doc_id",
-        "n_words",
+        "measured.n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
-        repeated_words(F.col("windows"), WINDOW).alias("n_repeat_words"),
-        F.when(F.size("grams") == 0, 0.0).otherwise(total / F.size("grams")).alias("llr"),
+        "measured.n_repeat_words",
+        "measured.llr",
+        "measured.base_failed",
+        "measured.kept",
         "row",
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (
-        100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
-    )
-    return scored.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr") >= threshold)
-    )
