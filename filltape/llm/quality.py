@@ -24,7 +24,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 THRESHOLD = -0.1
 #: Trusted documents that the target distribution is counted over, at most.
 TRUSTED_ROWS = 20_000
-SMOOTHING = 1.0
+#: Counts a bucket, on average, that the trusted distribution borrows from the corpus'. With
+#: few trusted documents this pulls ratios towards 0, which keeps documents.
+SMOOTHING = 4.0
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -125,8 +127,9 @@ def log_ratios(
     """One row with ``ratios``, a log ratio per bucket, from ``hashed`` documents.
 
     ``trusted`` has at most ``TRUSTED_ROWS`` ids and is therefore broadcast. Every count
-    is combined on the map side, so a frequent n-gram is one row per task. Without any
-    trusted n-gram all ratios are 0.
+    is combined on the map side, so a frequent n-gram is one row per task. The trusted
+    share of a bucket is smoothed towards its share of the corpus, so without any trusted
+    n-gram all ratios are 0.
     """
     marked = docs.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
     counts = (
@@ -142,17 +145,13 @@ def log_ratios(
         F.sum("target").alias("target"),
     )
 
-    def log_share(cell: Column, count: str) -> Column:
-        return F.log((cell[count] + smoothing) / (F.col(count) + smoothing * buckets))
+    borrowed = F.lit(smoothing * buckets)
 
-    return cells.select(
-        F.transform(
-            "cells",
-            lambda cell: F.when(F.col("target") == 0, 0.0).otherwise(
-                log_share(cell, "target") - log_share(cell, "raw")
-            ),
-        ).alias("ratios")
-    )
+    def ratio(cell: Column) -> Column:
+        corpus_share = F.greatest(cell["raw"], F.lit(1)) / F.greatest(F.col("raw"), F.lit(1))
+        return F.log((cell["target"] / corpus_share + borrowed) / (F.col("target") + borrowed))
+
+    return cells.select(F.transform("cells", ratio).alias("ratios"))
 
 
 def judge(
