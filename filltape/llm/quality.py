@@ -43,18 +43,30 @@ def duplicate_lines(text: Column) -> Column:
     ).cast("long")
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """A hash of every window of ``width`` words, in order."""
-    return F.when(
-        F.size(hashes) >= width,
-        let(
-            hashes,
-            lambda h: F.transform(
-                F.sequence(F.lit(1), F.size(h) - width + 1),
-                lambda i: F.xxhash64(F.slice(h, i, width)),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+def joined(hashes: Column, step: int) -> Column:
+    """Every hash combined with the one ``step`` places on; the last ``step`` have no partner."""
+    return let(
+        hashes,
+        lambda h: F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda a, b: F.xxhash64(a, b)),
+    )
+
+
+def _complete(hashes: Column, width: int) -> Column:
+    """Without the last ``width - 1`` places, where no window of ``width`` starts."""
+    return let(hashes, lambda h: F.slice(h, 1, F.greatest(F.size(h) - width + 1, F.lit(0))))
+
+
+def _windows(pairs: Column, width: int) -> Column:
+    """A hash of every window of ``width`` words, in order, given ``joined(hashes, 1)``.
+
+    Windows of twice the width come from two of half of it, so a word is hashed
+    ``log2(width)`` times and not ``width`` times. The two may overlap.
+    """
+    spans, span = pairs, 2
+    while span < width:
+        step = min(span, width - span)
+        spans, span = joined(spans, step), span + step
+    return _complete(spans, width)
 
 
 def repeated_words(windows: Column, width: int) -> Column:
@@ -97,22 +109,13 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def ngrams(hashes: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the words and word pairs of a text."""
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    pairs = let(
-        hashes,
-        lambda h: F.when(
-            F.size(h) > 1,
-            F.transform(
-                F.sequence(F.lit(1), F.size(h) - 1),
-                lambda i: F.pmod(
-                    F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(buckets)
-                ).cast("int"),
-            ),
-        ).otherwise(F.array().cast("array<int>")),
-    )
-    return F.concat(single, pairs)
+def ngrams(hashes: Column, pairs: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of the words and word pairs of a text, given ``joined(hashes, 1)`` as ``pairs``."""
+
+    def bucket(hash_: Column) -> Column:
+        return F.pmod(hash_, F.lit(buckets)).cast("int")
+
+    return F.concat(F.transform(hashes, bucket), F.transform(_complete(pairs, 2), bucket))
 
 
 def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -132,8 +135,11 @@ def log_ratios(
     n-gram all ratios are 0.
     """
     marked = docs.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    grams = let(F.col("hashes"), lambda h: ngrams(h, joined(h, 1), buckets))
+    # Computed below the explode, which Spark can then compile together with the counting.
     counts = (
-        marked.select("good", F.explode(ngrams(F.col("hashes"), buckets)).alias("bucket"))
+        marked.select("good", grams.alias("grams"))
+        .select("good", F.explode("grams").alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     )
@@ -189,18 +195,18 @@ def judge(
 
     # One expression from the words to the verdict: a filter on the verdict that moves
     # below the projections takes one copy of it along, and not one per use of a part.
+    def measures(h: Column, pairs: Column) -> Column:
+        return F.struct(
+            F.size(h).cast("long").alias("n_words"),
+            let(_windows(pairs, WINDOW), lambda w: repeated_words(w, WINDOW)).alias(
+                "n_repeat_words"
+            ),
+            let(ngrams(h, pairs), ratio).alias("llr"),
+        )
+
     measured = let(
         F.col("hashes"),
-        lambda h: let(
-            F.struct(
-                F.size(h).cast("long").alias("n_words"),
-                let(_windows(h, WINDOW), lambda w: repeated_words(w, WINDOW)).alias(
-                    "n_repeat_words"
-                ),
-                let(ngrams(h), ratio).alias("llr"),
-            ),
-            judged,
-        ),
+        lambda h: let(joined(h, 1), lambda pairs: let(measures(h, pairs), judged)),
     )
     counted = rows.withColumn("ratios", ratios.scalar()).select(
         "doc_id",
