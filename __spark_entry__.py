@@ -38,6 +38,20 @@ def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.fills_from_events(fixtures.events(spark, sf_dir))
 
 
+def _dense(fills: DataFrame) -> DataFrame:
+    """Fills moved to the start of their hour, with block and position in another order.
+
+    Buckets then hold several fills of one instant, and only ties decide their order.
+    """
+    return fills.withColumns(
+        {
+            "time": F.date_trunc("HOUR", "time").cast("timestamp_ntz"),
+            "block_number": F.col("event_pos") * 7 % 11,
+            "event_pos": 10_000_000 - F.col("event_pos"),
+        }
+    )
+
+
 def _lines(spark: SparkSession, sf_dir: str, faults: bool = True) -> DataFrame:
     return fixtures.raw_lines(fixtures.events(spark, sf_dir), faults)
 
@@ -63,7 +77,12 @@ def _validate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hour_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = validate.ingest_counts(_validated(spark, sf_dir))
-    attempts = counts.select(F.col("src_key").alias("key"), F.lit(runs.PROCESSED).alias("status"))
+    # Every kind of failure, by the hour of the day at the end of the key.
+    hour = F.substring("src_key", -6, 2).cast("int")
+    status = F.lit(runs.PROCESSED)
+    for number, failure in enumerate(runs.FAILED):
+        status = F.when(hour == 3 * number + 2, failure).otherwise(status)
+    attempts = counts.select(F.col("src_key").alias("key"), status.alias("status"))
     expected = hours.hour_keys(spark, fixtures.KEY_PREFIX, "20240101", "20240131")
     return runs.hour_status(expected, attempts, counts)
 
@@ -158,6 +177,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "vwap_all_coins_1h": lambda f: bars.vwap_by_coin(f, "1h"),
         "time_bars_all_coins_1s": lambda f: bars.time_bars_by_coin(f, "1s"),
         "time_bars_all_coins_1h": lambda f: bars.time_bars_by_coin(f, "1h"),
+        "get_fills_ties": lambda f: lookup.get_fills(_dense(f), FIRST, LAST),
+        "vwap_dense_1s": lambda f: bars.vwap(_dense(f), "ETH", "1s", FIRST, LAST),
+        "time_bars_dense_1s": lambda f: bars.time_bars_by_coin(_dense(f), "1s"),
+        "time_bars_dense_5s": lambda f: bars.time_bars_by_coin(_dense(f), "5s"),
         "wallet_per_coin": lambda f: wallets.wallet_per_coin(f, WALLET, FIRST, LAST),
         "wallet_summary": lambda f: wallets.wallet_totals(f, WALLET, FIRST, LAST),
         "wallet_summary_empty": lambda f: wallets.wallet_totals(f, "nobody", FIRST, LAST),
@@ -296,10 +319,13 @@ counts AS (
   FROM validated GROUP BY key),
 hours AS (
   SELECT 'fills/' || strftime(hour_start, '%Y%m%d/%H') || '.lz4' AS key, hour_start,
-         CASE WHEN src_key IS NULL THEN 'missing' ELSE 'processed' END AS status,
-         coalesce(rows_inserted, 0) AS rows_inserted,
-         coalesce(rows_quarantined, 0) AS rows_quarantined,
-         coalesce(parse_errors, 0) AS parse_errors
+         CASE WHEN src_key IS NULL THEN 'missing' WHEN hour(hour_start) = 2 THEN 'failed_download'
+              WHEN hour(hour_start) = 5 THEN 'failed_decompress'
+              WHEN hour(hour_start) = 8 THEN 'failed_dedup'
+              WHEN hour(hour_start) = 11 THEN 'failed_ingest' ELSE 'processed' END AS status,
+         CASE WHEN status = 'processed' THEN rows_inserted ELSE 0 END AS rows_inserted,
+         CASE WHEN status = 'processed' THEN rows_quarantined ELSE 0 END AS rows_quarantined,
+         CASE WHEN status = 'processed' THEN parse_errors ELSE 0 END AS parse_errors
   FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:00:00',
                                       INTERVAL 1 HOUR)) AS hour_start) h
   LEFT JOIN counts ON src_key = 'fills/' || strftime(hour_start, '%Y%m%d/%H') || '.lz4')"""
@@ -314,23 +340,29 @@ def _range(start: datetime, end: datetime) -> str:
     return f"time >= TIMESTAMP '{start}' AND time < TIMESTAMP '{end}'"
 
 
-def _vwap_sql(width: str, keys: str, where: str) -> str:
+def _vwap_sql(width: str, keys: str, where: str, source: str = "fills") -> str:
     return f"""
       SELECT {keys} time_bucket(INTERVAL '{width}', time, {_EPOCH}) AS time,
              CASE WHEN sum(sz) = 0 THEN 0.0e0 ELSE sum(px * sz) / sum(sz) END AS vwap,
              sum(sz) AS volume, sum(px * sz) AS notional, count(*) AS fill_count
-      FROM fills WHERE {where} GROUP BY ALL"""
+      FROM {source} AS fills WHERE {where} GROUP BY ALL"""
+
+
+_DENSE = """(
+      SELECT * REPLACE (date_trunc('hour', time) AS time, event_pos * 7 % 11 AS block_number,
+                        10000000 - event_pos AS event_pos) FROM fills)"""
 
 
-def _bars_sql(width: str, keys: str, where: str) -> str:
+def _bars_sql(width: str, keys: str, where: str, source: str = "fills") -> str:
     return f"""
-      SELECT {keys} time_bucket(INTERVAL '{width}', time, {_EPOCH}) AS time,
-             arg_min(px, (fills.time, event_pos)) AS open, max(px) AS high, min(px) AS low,
-             arg_max(px, (fills.time, event_pos)) AS close,
+      SELECT {keys} time_bucket(INTERVAL '{width}', fills.time, {_EPOCH}) AS time,
+             arg_min(px, (fills.time, block_number, event_pos)) AS open,
+             max(px) AS high, min(px) AS low,
+             arg_max(px, (fills.time, block_number, event_pos)) AS close,
              sum(sz) AS base_volume, sum(px * sz) AS notional_volume, count(*) AS trade_count,
              sum(CASE WHEN is_buy THEN sz ELSE 0.0e0 END) AS buy_volume,
              sum(CASE WHEN is_buy THEN 0.0e0 ELSE sz END) AS sell_volume
-      FROM fills WHERE crossed AND {where}
+      FROM {source} AS fills WHERE crossed AND {where}
       GROUP BY {keys} time_bucket(INTERVAL '{width}', fills.time, {_EPOCH})"""
 
 
@@ -352,25 +384,35 @@ def oracle_sql() -> dict[str, str]:
     coin_columns = (
         "coin, volume, notional_volume, fill_count, maker_count, taker_count, maker_taker_ratio"
     )
+    in_order = "ORDER BY time, block_number, event_pos"
     fills = {
-        "get_fills_range": f"SELECT {_COLUMNS} FROM fills WHERE {_range(START, END)}",
-        "get_fills_coin": f"SELECT {_COLUMNS} FROM fills WHERE coin = 'BTC'",
-        "get_fills_wallet": f"SELECT {_COLUMNS} FROM fills WHERE address = '{WALLET}'",
-        "get_fills_side_crossed": f"SELECT {_COLUMNS} FROM fills WHERE NOT is_buy AND crossed",
-        "fill_by_hash": f"SELECT {_COLUMNS} FROM fills WHERE hash = '0xh100'",
-        "fills_by_oid": f"SELECT {_COLUMNS} FROM fills WHERE oid = 25",
+        "get_fills_range": f"SELECT {_COLUMNS} FROM fills WHERE {_range(START, END)} {in_order}",
+        "get_fills_coin": f"SELECT {_COLUMNS} FROM fills WHERE coin = 'BTC' {in_order}",
+        "get_fills_wallet": f"SELECT {_COLUMNS} FROM fills WHERE address = '{WALLET}' {in_order}",
+        "get_fills_side_crossed": f"""
+          SELECT {_COLUMNS} FROM fills WHERE NOT is_buy AND crossed {in_order}""",
+        "get_fills_ties": f"SELECT {_COLUMNS} FROM {_DENSE} {in_order}",
+        "fill_by_hash": f"SELECT {_COLUMNS} FROM fills WHERE hash = '0xh100' {in_order}",
+        "fills_by_oid": f"SELECT {_COLUMNS} FROM fills WHERE oid = 25 {in_order}",
+        "vwap_dense_1s": _vwap_sql("1 second", "", "coin = 'ETH'", _DENSE) + " ORDER BY time",
+        "time_bars_dense_1s": _bars_sql("1 second", "coin,", "true", _DENSE),
+        "time_bars_dense_5s": _bars_sql("5 seconds", "coin,", "true", _DENSE),
         "vwap_all_coins_1s": _vwap_sql("1 second", "coin,", "true"),
         "vwap_all_coins_1h": _vwap_sql("1 hour", "coin,", "true"),
         "time_bars_all_coins_1s": _bars_sql("1 second", "coin,", "true"),
         "time_bars_all_coins_1h": _bars_sql("1 hour", "coin,", "true"),
-        "wallet_per_coin": f"SELECT {coin_columns} FROM ({per_coin}) WHERE address = '{WALLET}'",
+        "wallet_per_coin": f"""
+          SELECT {coin_columns} FROM ({per_coin}) WHERE address = '{WALLET}'
+          ORDER BY fill_count DESC, coin""",
         "wallet_summary": f"{totals} FROM fills WHERE address = '{WALLET}'",
         "wallet_summary_empty": f"{totals} FROM fills WHERE address = 'nobody'",
         "wallet_summary_all": f"SELECT address, {totals.strip()[7:]} FROM fills GROUP BY address",
         "wallet_top_coins": f"""
           SELECT {coin_columns} FROM ({per_coin}) WHERE address = '{WALLET}'
           ORDER BY notional_volume DESC, coin LIMIT 3""",
-        "list_coins": "SELECT coin, count(*) AS fill_count FROM fills GROUP BY coin",
+        "list_coins": """
+          SELECT coin, count(*) AS fill_count FROM fills GROUP BY coin
+          ORDER BY fill_count DESC, coin""",
         "top_coin": """
           SELECT coin, count(*) AS fill_count FROM fills GROUP BY coin
           ORDER BY fill_count DESC, coin LIMIT 1""",
@@ -388,7 +430,8 @@ def oracle_sql() -> dict[str, str]:
                           TIMESTAMP '{MIN_TIME}'), TIMESTAMP '{MIN_TIME}') AS start,
                  TIMESTAMP '2024-02-03 04:00:00' AS "end" FROM fills""",
         "partition_counts": """
-          SELECT strftime(time, '%Y%m%d') AS date, count(*) AS row_count FROM fills GROUP BY 1""",
+          SELECT strftime(time, '%Y%m%d') AS date, count(*) AS row_count FROM fills
+          GROUP BY 1 ORDER BY 1""",
         "purge_before": f"SELECT {_COLUMNS} FROM fills WHERE time >= TIMESTAMP '2024-01-15'",
         "purge_days": """
           SELECT DISTINCT strftime(time, '%Y%m%d') AS date FROM fills
@@ -423,8 +466,13 @@ def oracle_sql() -> dict[str, str]:
                              date_trunc('second', time) AS second FROM fills))""",
     }
     for width, name in _WIDTHS.items():
-        fills[f"vwap_{width}"] = _vwap_sql(name, "", f"coin = 'ETH' AND {_range(START, END)}")
-        fills[f"time_bars_{width}"] = _bars_sql(name, "", f"coin = 'BTC' AND {_range(START, END)}")
+        inside = _range(START, END).replace("time", "fills.time")
+        fills[f"vwap_{width}"] = (
+            _vwap_sql(name, "", f"coin = 'ETH' AND {inside}") + " ORDER BY 1"
+        )
+        fills[f"time_bars_{width}"] = (
+            _bars_sql(name, "", f"coin = 'BTC' AND {inside}") + " ORDER BY 1"
+        )
     lineage = "key AS src_key, line_no, event_pos"
     ingest = {
         "parse_derive": f"""
@@ -448,11 +496,13 @@ def oracle_sql() -> dict[str, str]:
         "run_report": """
           SELECT '20240101' AS "from", '20240131' AS "to", count(*) AS hours_total,
                  count(*) FILTER (WHERE status = 'processed') AS hours_processed,
-                 count(*) FILTER (WHERE status = 'missing') AS hours_skipped,
+                 count(*) FILTER (WHERE status <> 'processed') AS hours_skipped,
                  count(*) FILTER (WHERE status = 'missing') AS hours_missing,
-                 cast(0 AS BIGINT) AS failed_hours, cast(0 AS BIGINT) AS failed_download,
-                 cast(0 AS BIGINT) AS failed_decompress, cast(0 AS BIGINT) AS failed_dedup,
-                 cast(0 AS BIGINT) AS failed_ingest,
+                 count(*) FILTER (WHERE status LIKE 'failed%') AS failed_hours,
+                 count(*) FILTER (WHERE status = 'failed_download') AS failed_download,
+                 count(*) FILTER (WHERE status = 'failed_decompress') AS failed_decompress,
+                 count(*) FILTER (WHERE status = 'failed_dedup') AS failed_dedup,
+                 count(*) FILTER (WHERE status = 'failed_ingest') AS failed_ingest,
                  cast(sum(rows_inserted) AS BIGINT) AS rows_inserted,
                  cast(sum(rows_quarantined) AS BIGINT) AS rows_quarantined,
                  cast(sum(parse_errors) AS BIGINT) AS parse_errors

@@ -93,14 +93,11 @@ def load_between(
     The status is read from what was stored, so use it before loading the same hours again.
     """
     expected = hour_keys_between(spark, prefix, start, end)
-    store.ensure_tables(spark, root)
-    load_id, began = uuid.uuid4().hex, params.now()
-    total = (params.utc(end) - params.utc(start)) // timedelta(hours=1)
-    log = {"run_id": load_id, "started_at": began, "hours_total": total}
-    counters = ("hours_done", "rows_inserted", "rows_quarantined", "files_missing", "files_failed")
-    log |= dict.fromkeys(counters, 0)
-    store.append_run(spark, root, log | {"state": runs.RUNNING, "last_updated_at": began})
+    log = _log_entry((params.utc(end) - params.utc(start)) // timedelta(hours=1))
+    load_id, began = log["run_id"], log["started_at"]
     try:
+        store.ensure_tables(spark, root)
+        store.append_run(spark, root, log | {"state": runs.RUNNING, "last_updated_at": began})
         objects = archive.existing_objects(spark, source, prefix, start, end)
         if objects:
             lines = archive.decode_lines(archive.read_hours(spark, objects))
@@ -115,16 +112,24 @@ def load_between(
         status = _status(spark, root, expected, objects, done, ours)
         progress = runs.run_progress(status).first().asDict()
     except Exception:
-        ended = params.now()
-        failed = {"state": runs.FAILED_RUN, "last_updated_at": ended, "finished_at": ended}
-        store.append_run(spark, root, log | failed)
+        store.append_run(spark, root, log | _ended(runs.FAILED_RUN))
         raise
-    ended = params.now()
-    finished = {"state": runs.SUCCEEDED, "last_updated_at": ended, "finished_at": ended}
-    store.append_run(spark, root, log | progress | finished)
+    store.append_run(spark, root, log | progress | _ended(runs.SUCCEEDED))
     return status
 
 
+def _log_entry(hours_total: int) -> dict:
+    """A new run's line of the log, with nothing done yet."""
+    counters = ("hours_done", "rows_inserted", "rows_quarantined", "files_missing", "files_failed")
+    new = {"run_id": uuid.uuid4().hex, "started_at": params.now(), "hours_total": hours_total}
+    return new | dict.fromkeys(counters, 0)
+
+
+def _ended(state: str) -> dict:
+    ended = params.now()
+    return {"state": state, "last_updated_at": ended, "finished_at": ended}
+
+
 def _status(
     spark: SparkSession,
     root: str,
@@ -179,10 +184,19 @@ def load_new(
     as_of: datetime | None = None,
     first_hour: datetime = validate.FIRST_HOUR,
 ) -> DataFrame | None:
-    """Load from the newest stored fill to the last full hour; ``None`` when up to date."""
-    store.ensure_tables(spark, root)
-    window = sync.sync_window(store.newest_fill(spark, root), as_of, first_hour).first()
+    """Load from the newest stored fill to the last full hour; ``None`` when up to date.
+
+    Having nothing to load is logged as a run of 0 hours, not finding out as a failed one.
+    """
+    log = _log_entry(0)
+    try:
+        store.ensure_tables(spark, root)
+        window = sync.sync_window(store.newest_fill(spark, root), as_of, first_hour).first()
+    except Exception:
+        store.append_run(spark, root, log | _ended(runs.FAILED_RUN))
+        raise
     if window is None:
+        store.append_run(spark, root, log | _ended(runs.SUCCEEDED))
         return None
     return load_between(
         spark, source, prefix, root, window["start"], window["end"], as_of, first_hour

@@ -101,13 +101,36 @@ def fills(
     return read_table(spark, root, FILLS, inside)
 
 
+def _edge_day(spark: SparkSession, root: str, newest: bool) -> DataFrame:
+    """Fills of the newest or oldest day that holds any."""
+    for _, path in sorted(stored_days(spark, root, FILLS).items(), reverse=newest):
+        day = read_table(spark, root, FILLS, [path])
+        if not day.select("time").isEmpty():
+            return day
+    return read_table(spark, root, FILLS, [])
+
+
 def newest_fill(spark: SparkSession, root: str) -> DataFrame:
     """``max_time`` of the fills, in one row. Only the newest day that holds rows is read."""
-    for _, path in sorted(stored_days(spark, root, FILLS).items(), reverse=True):
-        newest = max_fill_time(read_table(spark, root, FILLS, [path]))
-        if newest.first()["max_time"] is not None:
-            return newest
-    return max_fill_time(spark.createDataFrame([], _SCHEMAS[FILLS]))
+    return max_fill_time(_edge_day(spark, root, newest=True))
+
+
+def db_stats(spark: SparkSession, root: str) -> DataFrame:
+    """``stats.db_stats`` of the stored tables without a scan of them.
+
+    Counts come from file footers, the time span from the oldest and the newest day.
+    """
+    days = [_edge_day(spark, root, newest) for newest in (False, True)]
+    edges = days[0].unionByName(days[1]).agg(
+        F.min("time").alias("min_time"), F.max("time").alias("max_time")
+    )
+    counts = read_table(spark, root, FILLS).agg(F.count("*").alias("fills_count"))
+    rejected = quarantine(spark, root).agg(F.count("*").alias("quarantine_count"))
+    parts = counts.unionByName(rejected, allowMissingColumns=True)
+    parts = parts.unionByName(edges, allowMissingColumns=True)
+    # Every part is one row and fills its own columns.
+    names = ("fills_count", "quarantine_count", "min_time", "max_time")
+    return parts.agg(*[F.max(name).alias(name) for name in names])
 
 
 def quarantine(spark: SparkSession, root: str) -> DataFrame:

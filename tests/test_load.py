@@ -202,7 +202,21 @@ def test_load_new_continues_from_the_newest_fill(spark, tmp_path):
     assert sorted(r["hour_start"].hour for r in second.collect()) == [0, 1, 2, 3]
     assert store.fills(spark, root).count() == 4
     assert store.newest_fill(spark, root).first()[0] == datetime(2025, 7, 27, 3, 5)
-    assert load.load_new(spark, source, "a/b", str(tmp_path / "x"), datetime(2025, 7, 27)) is None
+    idle = str(tmp_path / "x")
+    assert load.load_new(spark, source, "a/b", idle, datetime(2025, 7, 27)) is None
+    latest = runs.ingest_status(store.runs(spark, idle)).first()
+    assert (latest["state"], latest["hours_total"]) == (runs.SUCCEEDED, 0)
+
+
+def test_a_failure_before_the_load_is_logged(spark, tmp_path, monkeypatch):
+    def broken(spark, root):
+        raise RuntimeError("no listing")
+
+    monkeypatch.setattr(store, "newest_fill", broken)
+    with pytest.raises(RuntimeError, match="no listing"):
+        load.load_new(spark, str(tmp_path), "a/b", str(tmp_path / "root"))
+    latest = runs.ingest_status(store.runs(spark, str(tmp_path / "root"))).first()
+    assert latest["state"] == runs.FAILED_RUN and latest["hours_done"] == 0
 
 
 def test_stored_tables_answer_queries_with_pruned_days(spark, tmp_path):
@@ -227,6 +241,10 @@ def test_stored_tables_answer_queries_with_pruned_days(spark, tmp_path):
     assert spark.sql("SELECT max(px) FROM fills WHERE coin = 'BTC'").first()[0] == 13.0
     span = stats.db_stats(whole, store.quarantine(spark, root)).first()
     assert (span["fills_count"], span["quarantine_count"]) == (10, 0)
+    assert store.db_stats(spark, root).first() == span
+    empty = str(tmp_path / "empty")
+    store.ensure_tables(spark, empty)
+    assert tuple(store.db_stats(spark, empty).first()) == (0, 0, None, None)
 
 
 def test_purge_and_recluster(spark, tmp_path):

@@ -77,6 +77,23 @@ def test_results_do_not_depend_on_partitioning(spark, fills):
         assert found == expected
 
 
+def test_sums_of_inexact_values_agree_up_to_rounding(fills):
+    tenths = fills.withColumns(
+        {"px": F.round("px", 1), "sz": (F.col("event_pos") % 97 + 1) / F.lit(10.0)}
+    )
+
+    def bars_of(count: int) -> list:
+        found = bars.time_bars_by_coin(tenths.repartition(count, F.rand(count)), "1d")
+        return found.orderBy("coin", "time").collect()
+
+    one = bars_of(1)
+    for count in (3, 8):
+        for mine, theirs in zip(one, bars_of(count), strict=True):
+            assert mine[:-6] == theirs[:-6] and mine["trade_count"] == theirs["trade_count"]
+            for name in ("base_volume", "notional_volume", "buy_volume", "sell_volume"):
+                assert mine[name] == pytest.approx(theirs[name], rel=1e-12)
+
+
 def test_bars_add_up(fills):
     def total(width: str):
         return bars.time_bars_by_coin(fills, width).agg(
