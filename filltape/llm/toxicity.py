@@ -5,12 +5,18 @@ characters, which catch inflected and invented forms. Terms are hashed into a fi
 number of buckets. The machine adds a weight per term and a product of factor vectors
 per pair of terms, so that two words which are harmless alone can count together.
 
+A first machine is fitted to the terms that tell something alone. Pairs of terms whose
+share of toxic texts differs from what the two terms and that machine give are found by
+counting all pairs of the sample on the executors. In the machine that scores, such a
+pair is one more term, and its two terms are fitted whether or not they tell anything alone.
+
 The machine is fitted by the driver on a bounded sample of labelled texts, its size is
-fixed by the number of buckets, and every text is scored whole by the executors.
+bounded by the numbers of buckets and pairs, and every text is scored whole by the executors.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -20,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +37,12 @@ FACTORS = 4
 #: Labelled rows that are learned from, at most; those with the least hash of their id.
 SAMPLE_ROWS = 16_384
 #: Terms in fewer sampled texts, or whose share of toxic texts differs from the whole
-#: sample's by fewer standard deviations, get no weight.
+#: sample's by fewer standard deviations, do not tell anything alone.
 MIN_TEXTS, MIN_Z = 4, 3.5
+#: Pairs of all those counted that may be chosen by chance, and the most that are chosen.
+PAIR_ERRORS, MAX_PAIRS = 0.1, 1 << 16
+#: Tasks that count pairs, and terms they add up at once.
+PAIR_TASKS, PAIR_TERMS = 12, 1 << 20
 EPOCHS, BATCH, RATE, L1, L2, SEED = 30, 256, 0.3, 3e-5, 1e-3, 17
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
@@ -46,8 +56,24 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
     squares: np.ndarray
+    pairs: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.paired = np.zeros(BUCKETS, bool)
+        self.paired[self.pairs] = True
+
+    def extended(self, terms: np.ndarray) -> np.ndarray:
+        """Terms of a text with its pairs, which are numbered from ``BUCKETS``."""
+        members = terms[self.paired[terms]]
+        if len(members) < 2:
+            return terms
+        has = np.zeros(BUCKETS, bool)
+        has[members] = True
+        both = np.flatnonzero(has[self.pairs[:, 0]] & has[self.pairs[:, 1]])
+        return np.concatenate([terms, (BUCKETS + both).astype(terms.dtype)])
 
     def score(self, terms: np.ndarray) -> float:
+        terms = self.extended(terms)
         vectors = self.factors[terms].sum(0)
         pairs = 0.5 * (float(vectors @ vectors) - float(self.squares[terms].sum()))
         raw = self.bias + float(self.weights[terms].sum()) + pairs
@@ -78,28 +104,36 @@ def terms(text: str | None) -> np.ndarray:
     return np.unique(buckets).astype(np.int32)
 
 
-def _constant(share: float) -> Machine:
+NO_PAIRS = np.empty((0, 2), np.int64)
+
+
+def _constant(share: float, pairs: np.ndarray = NO_PAIRS) -> Machine:
     share = min(max(share, 1e-6), 1 - 1e-6)
-    empty = np.zeros((BUCKETS, FACTORS), np.float32)
-    zero = np.zeros(BUCKETS, np.float32)
-    return Machine(float(np.log(share / (1 - share))), zero, empty, zero)
+    empty = np.zeros((BUCKETS + len(pairs), FACTORS), np.float32)
+    zero = np.zeros(BUCKETS + len(pairs), np.float32)
+    return Machine(float(np.log(share / (1 - share))), zero, empty, zero, pairs)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray) -> Machine:
+def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: np.ndarray = NO_PAIRS) -> Machine:
     """A machine from term sets and 0/1 labels, by AdaGrad with an L1 step on weights.
 
-    The L1 step keeps terms that say nothing at exactly 0, so a long harmless text does
-    not add up small errors. With labels of one kind only the score is constant.
+    Fitted are terms that tell something alone, the terms of ``pairs``, and every pair as
+    a term of its own. The L1 step keeps terms that say nothing at a weight of exactly 0,
+    so a long harmless text does not add up small errors. With labels of one kind only
+    the score is constant.
     """
     if not len(texts) or labels.min() == labels.max():
         return _constant(float(labels.mean()) if len(texts) else 0.0)
+    share = float(labels.mean())
+    machine = _constant(0.5, pairs)
+    texts = [machine.extended(t) for t in texts]
     sizes = np.array([len(t) for t in texts])
     flat = np.concatenate(texts)
-    share = float(labels.mean())
-    texts_with = np.bincount(flat, minlength=BUCKETS)
-    marked = np.bincount(flat, np.repeat(labels, sizes), BUCKETS)
+    texts_with = np.bincount(flat, minlength=BUCKETS + len(pairs))
+    marked = np.bincount(flat, np.repeat(labels, sizes), BUCKETS + len(pairs))
     spread = np.sqrt(np.maximum(texts_with, 1) * share * (1 - share))
     seen = (texts_with >= MIN_TEXTS) & (np.abs(marked - texts_with * share) >= MIN_Z * spread)
+    seen[pairs] = seen[BUCKETS:] = True
     keep = seen[flat]
     owner = np.repeat(np.arange(len(texts)), sizes)[keep]
     kept = np.flatnonzero(seen)
@@ -138,11 +172,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> Machine:
             slope = float(error.mean())
             gb += slope**2
             bias -= RATE * slope / gb**0.5
-    machine = _constant(0.5)
     machine.bias = bias
     machine.weights[kept] = w
-    # Factors of terms without a weight are what they were drawn as, or noise.
-    machine.factors[kept] = np.where((np.abs(w) > 0)[:, None], v, 0)
+    machine.factors[kept] = v
     machine.squares = (machine.factors**2).sum(1)
     return machine
 
@@ -157,14 +189,24 @@ def _terms(texts: pa.Array) -> pa.Array:
     return pa.array([terms(text.as_py()) for text in texts], pa.list_(pa.int32()))
 
 
-def _telling_terms(sample: DataFrame) -> Broadcast:
-    """Which buckets pass ``MIN_TEXTS`` and ``MIN_Z``; the rest stays on the executors.
+def least_gain(terms: int) -> float:
+    """Gain from which a pair counts, if all pairs of so many terms are looked at.
+
+    The gain of a pair is its texts times the divergence of its share of toxic texts from
+    the expected one; chance exceeds it with a probability of at most ``exp(-gain)``.
+    """
+    return math.log(max(terms * (terms - 1) / 2, 1) / PAIR_ERRORS)
+
+
+def _wanted_terms(sample: DataFrame) -> tuple[Broadcast, np.ndarray]:
+    """Buckets that reach the driver, and of these the ones whose pairs are counted.
 
-    The driver gets the numbers of those buckets, of which there are ``BUCKETS`` at most.
+    Wanted are buckets that pass ``MIN_TEXTS`` and ``MIN_Z``, and those in enough toxic
+    or clean texts for a pair whose terms tell nothing alone to have the least gain.
     """
     spark = sample.sparkSession
     whole = sample.agg(F.avg("toxic").alias("share"), F.count("*").alias("n")).first()
-    mask = np.zeros(BUCKETS, bool)
+    mask, paired = np.zeros(BUCKETS, bool), np.empty(0, np.int64)
     if whole["n"] and 0 < whole["share"] < 1:
         share = whole["share"]
         counts = (
@@ -173,10 +215,128 @@ def _telling_terms(sample: DataFrame) -> Broadcast:
             .agg(F.count("*").alias("texts"), F.sum("toxic").alias("marked"))
             .filter(F.col("texts") >= MIN_TEXTS)
         )
-        spread = F.sqrt(F.col("texts") * share * (1 - share))
-        far = F.abs(F.col("marked") - F.col("texts") * share) >= MIN_Z * spread * (1 - 1e-9)
-        mask[counts.filter(far).select("term").toArrow()["term"].to_numpy()] = True
-    return spark.sparkContext.broadcast(mask)
+        found = counts.toArrow()
+        term, texts, marked = (found[c].to_numpy() for c in ("term", "texts", "marked"))
+        spread = np.sqrt(texts * share * (1 - share))
+        mask[term[np.abs(marked - texts * share) >= MIN_Z * spread * (1 - 1e-9)]] = True
+        # The least gain falls with the number of terms, which falls with the least gain.
+        enough = np.ones(len(term), bool)
+        for _ in range(20):
+            gain = least_gain(int(enough.sum())) * (1 - 1e-9)
+            now = (marked * -math.log(share) >= gain) | ((texts - marked) * -math.log1p(-share) >= gain)
+            if (now == enough).all():
+                break
+            enough = now
+        paired = np.sort(term[enough])
+        mask[paired] = True
+    return spark.sparkContext.broadcast(mask), paired
+
+
+def _gain(texts: np.ndarray, marked: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        clean = texts - marked
+        gain = np.where(marked > 0, marked * np.log(marked / (texts * expected)), 0)
+        return gain + np.where(clean > 0, clean * np.log(clean / (texts * (1 - expected))), 0)
+
+
+def _count_pairs(
+    part: int,
+    parts: int,
+    flat: np.ndarray,
+    ends: np.ndarray,
+    labels: np.ndarray,
+    scores: np.ndarray,
+    terms: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, second, gain`` of the pairs that count, of every ``parts``-th first term.
+
+    ``flat`` has the terms of all texts, numbered from 0 and in order in every text. What
+    two terms give by themselves lies between the share of the one that tells more, which
+    holds for terms that say the same, and both their odds multiplied. The mean score of
+    the texts with both may differ; a pair's share has to lie beyond all three.
+    """
+    share, least = float(labels.mean()), least_gain(terms)
+    flat = flat.astype(np.int64)
+    owner = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(ends))
+    order = np.argsort(flat, kind="stable")
+    texts = np.bincount(flat, minlength=terms)
+    shares = (np.bincount(flat, labels[owner], terms) + share) / (texts + 1)
+    odds, base = shares / (1 - shares), share / (1 - share)
+    strength = np.abs(np.log(odds / base))
+    starts = np.concatenate([[0], np.cumsum(texts)])
+    found = []
+    for one in range(part, terms, parts):
+        places = order[starts[one] : starts[one + 1]]
+        both, marked = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
+        lengths = ends[owner[places] + 1] - places - 1
+        toxic = labels[owner[places]] > 0
+        for total, chosen in ((marked, toxic), (both, ~toxic)):
+            own, size = places[chosen], lengths[chosen]
+            block = np.cumsum(size) // PAIR_TERMS
+            for cut in np.split(np.arange(len(own)), np.flatnonzero(np.diff(block)) + 1):
+                if len(cut):
+                    rest = np.concatenate([flat[own[i] + 1 : own[i] + 1 + size[i]] for i in cut])
+                    total += np.bincount(rest, minlength=terms)
+        both += marked
+        second = np.flatnonzero(both >= MIN_TEXTS)
+        n, m = both[second], marked[second]
+        product = odds[one] * odds[second] / base
+        product = product / (1 + product)
+        single = np.where(strength[second] > strength[one], shares[second], shares[one])
+        low, high = np.minimum(product, single), np.maximum(product, single)
+        nearest = np.clip(m / n, low, high)
+        # The divergence is at most chi squared, which is cheaper.
+        far = (m - n * nearest) ** 2 >= least * n * nearest * (1 - nearest)
+        far = np.flatnonzero(far & ((m < n * low) | (m > n * high)))
+        far = far[_gain(n[far], m[far], nearest[far]) >= least]
+        if not len(far):
+            continue
+        n, m, second = n[far], m[far], second[far]
+        given = np.zeros(len(labels))
+        given[owner[places]] = scores[owner[places]]
+        mean = [given[owner[order[starts[i] : starts[i + 1]]]].sum() for i in second] / n
+        mean = np.clip(mean, 1e-9, 1 - 1e-9)
+        low, high = np.minimum(low[far], mean), np.maximum(high[far], mean)
+        gain = _gain(n, m, np.clip(m / n, low, high))
+        good = gain >= least
+        found.append((np.full(good.sum(), one), second[good], gain[good]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    first, second, gain = (np.concatenate(c) for c in zip(*found, strict=True))
+    best = np.argsort(-gain, kind="stable")[:MAX_PAIRS]
+    return first[best], second[best], gain[best]
+
+
+def telling_pairs(
+    spark: SparkSession,
+    texts: list[np.ndarray],
+    labels: np.ndarray,
+    scores: np.ndarray,
+    paired: np.ndarray,
+) -> np.ndarray:
+    """Pairs of the terms ``paired`` that tell what terms and ``scores`` do not, by tasks."""
+    if len(paired) < 2:
+        return NO_PAIRS
+    place = np.full(BUCKETS, -1, np.int32)
+    place[paired] = np.arange(len(paired))
+    numbered = [own[own >= 0] for own in (place[t] for t in texts)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in numbered])])
+    sent = spark.sparkContext.broadcast((np.concatenate(numbered), ends, labels, scores))
+    terms = len(paired)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch["id"].to_pylist():
+                columns = _count_pairs(part, PAIR_TASKS, *sent.value, terms)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in columns], names=["first", "second", "gain"]
+                )
+
+    parts = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS)
+    counted = parts.mapInArrow(count, "first long, second long, gain double")
+    best = counted.orderBy(F.desc("gain"), "first", "second").limit(MAX_PAIRS).toArrow()
+    sent.destroy()
+    return paired[np.stack([best[c].to_numpy() for c in ("first", "second")], 1)]
 
 
 def learn(
@@ -190,7 +350,8 @@ def learn(
 
     Null labels are skipped and a document labelled twice has the greater label.
     ``sample_rows`` bounds the rows that are learned from; of these only the terms that
-    tell something reach the driver. Of several texts with one id one is learned from.
+    tell something, alone or perhaps in a pair, reach the driver. Of several texts with
+    one id one is learned from.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -208,19 +369,23 @@ def learn(
         .agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms")),
         "sample",
     )
-    telling = _telling_terms(sample)
+    wanted, paired = _wanted_terms(sample)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def only_telling(rows: pa.Array) -> pa.Array:
-        kept = [np.asarray(r.values)[telling.value[np.asarray(r.values)]] for r in rows]
+    def only_wanted(rows: pa.Array) -> pa.Array:
+        kept = [np.asarray(r.values)[wanted.value[np.asarray(r.values)]] for r in rows]
         return pa.array(kept, pa.list_(pa.int32()))
 
-    learned = sample.select("doc_id", "toxic", only_telling("terms").alias("terms"))
+    learned = sample.select("doc_id", "toxic", only_wanted("terms").alias("terms"))
     sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     found = sample["terms"].combine_chunks()
     ends, values = found.offsets.to_numpy(), found.values.to_numpy()
     split = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    return fit(split, sample["toxic"].to_numpy().astype(float))
+    marks = sample["toxic"].to_numpy().astype(float)
+    machine = fit(split, marks)
+    scores = np.array([machine.score(own) for own in split])
+    pairs = telling_pairs(docs.sparkSession, split, marks, scores, paired)
+    return fit(split, marks, pairs) if len(pairs) else machine
 
 
 def score(docs: DataFrame, machine: Machine, text: Column) -> Column:

@@ -345,3 +345,34 @@ def test_empty_table(spark, docs, labels, kind):
         "shards": lambda: shards.shard(none, 4),
     }[kind]()
     assert frame.collect() == []
+
+
+def test_toxicity_learns_a_pair_whose_terms_tell_nothing(spark):
+    """Both words are as often in toxic texts as any other; only together they are toxic."""
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(4000):
+        own = [rng.choice(WORDS) for _ in range(40)]
+        kind = i % 100
+        # With both words, without any, with one: 11 % toxic texts for each of the words.
+        if kind < 2 or 10 <= kind < 26:
+            own[0] = "qqa"
+        if kind < 2 or 26 <= kind < 42:
+            own[1] = "zzb"
+        toxic = kind < 2 or 50 <= kind < 59
+        if kind >= 50 and toxic:
+            own[2] = "scummy"
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+        marks.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    machine = toxicity.learn(docs, labels)
+    fillers = [sentence(1000 + i, 38) for i in range(100)]
+
+    def share(extra: str) -> float:
+        found = [machine.score(toxicity.terms(f"{text} {extra}")) for text in fillers]
+        return sum(s >= toxicity.THRESHOLD for s in found) / len(found)
+
+    assert share("qqa zzb") >= 0.95
+    assert max(share("qqa w1"), share("w1 zzb"), share("w1 w2")) <= 0.05
