@@ -1,10 +1,9 @@
-"""Removal of passages that an earlier document has, by relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document has, by looking up windows of words.
 
-The reference of a document is every document with a smaller id. Parsing it greedily into
-factors that occur in the reference needs, at every word, the answer to one question: do
-the next ``WINDOW`` words start somewhere in the reference? While they do, the factor goes
-on; at a factor's end they do not. Factors are therefore at least ``WINDOW`` words long,
-their borders are exact, and they are the spans to remove.
+A word goes if a window of ``WINDOW`` words around it also starts in a document with a
+smaller id. Neighbouring known windows are merged into the spans to remove. This stands in
+for relative Lempel-Ziv parsing: a span is not a factor, as its windows may come from
+several documents, but the words inside matches of ``WINDOW`` words or more are the same.
 
 Blocks of ``ANCHOR`` words index the reference. From every window the block with the least
 hash is chosen, so equal windows choose equal blocks, wherever they are; neighbouring
@@ -106,10 +105,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def factors(starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Greedy factors ``(first word, words)`` from the sorted starts of known windows.
+    """Spans ``(first word, words)`` from the sorted starts of known windows.
 
-    A factor goes on while the next window is known. Factors whose words touch or overlap
-    are one span.
+    Windows whose words touch or overlap are one span, whichever documents they come from.
     """
     if not len(starts):
         return []
