@@ -15,7 +15,7 @@
 No pair is emitted but verified links, and of those only a spanning forest per group.
 A band value that many classes share is cut into blocks; each block also holds the least
 class of the band value, so one round joins what is alike. Only classes that are then
-still apart from the largest part are sent to all blocks of their band value.
+still apart from that class's part meet all blocks of their band value, in blocks as well.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
@@ -65,14 +65,17 @@ def least_agreements(percent: int) -> list[int]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum hashes of a set, 16 bits each."""
+    """Minimum hashes of a set, 16 bits each.
+
+    Minima are mixed before they are cut: the upper bits of those of a long text are all 0.
+    """
     values = (shingles >> np.uint64(32)).astype(np.uint32)
     best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for start in range(0, len(values), 1024):
         block = values[start : start + 1024, None] * _SCALE
         block += _SHIFT
         np.minimum(best, block.min(0), out=best)
-    return (best >> np.uint32(16)).astype(np.uint16)
+    return (mixed(best.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 _SETS = pa.schema(
@@ -183,6 +186,42 @@ def _verify(percent: int):
     return verify
 
 
+def in_pairs_of_blocks(parts: DataFrame) -> DataFrame:
+    """``band, id, block, slot, part, home``: classes that are apart, with all of their band.
+
+    ``parts`` has ``band, id, block, blocks, part, apart``. The classes of a band value that
+    are apart are cut into slots of about ``BLOCK``; each slot meets each block in a group
+    of its own, so no group has more than two blocks however many classes are apart.
+    """
+    slots = (
+        parts.filter("apart")
+        .groupBy("band")
+        .agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("slots"))
+    )
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("slots")).cast("int")
+    every_slot = F.sequence(F.lit(0), F.col("slots") - 1)
+    every_block = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def at(block: Column, slot: Column) -> Column:
+        return F.struct(block.alias("block"), slot.alias("slot"))
+
+    home = F.transform(every_slot, lambda slot: at(F.col("block"), slot))
+    away = F.transform(every_block, lambda block: at(block, own))
+    places = F.when(F.col("apart"), F.array_union(home, away)).otherwise(home)
+    return (
+        parts.join(slots, "band")
+        .withColumn("at", F.explode(places))
+        .select(
+            "band",
+            "id",
+            F.col("at.block").alias("block"),
+            F.col("at.slot").alias("slot"),
+            "part",
+            (F.col("at.block") == F.col("block")).alias("home"),
+        )
+    )
+
+
 def near_duplicates(
     docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -251,7 +290,7 @@ def near_duplicates(
     def compared(placed: DataFrame) -> DataFrame:
         return (
             placed.join(payload, "id")
-            .groupBy("band", "block")
+            .groupBy("band", "block", "slot")
             .applyInArrow(verify, "a long, b long")
         )
 
@@ -262,6 +301,7 @@ def near_duplicates(
         "band",
         "id",
         F.explode(in_blocks).alias("block"),
+        F.lit(0).alias("slot"),
         F.col("id").alias("part"),
         F.lit(True).alias("home"),
     )
@@ -274,18 +314,7 @@ def near_duplicates(
         main = parts.filter("id = first").select("band", F.col("part").alias("main"))
         apart = F.col("part") != F.col("main")
         parts = parts.join(main, "band").withColumn("apart", apart)
-        open_bands = parts.filter("apart").select("band").distinct()
-        second = (
-            parts.join(open_bands, "band", "left_semi")
-            .withColumn("at", F.explode(F.when(F.col("apart"), every).otherwise(F.array("block"))))
-            .select(
-                "band",
-                "id",
-                F.col("at").alias("block"),
-                "part",
-                (F.col("at") == F.col("block")).alias("home"),
-            )
-        )
+        second = in_pairs_of_blocks(parts)
         found = components(links.union(stored(compared(second), "verified")))
     ids = named.select("low", "high", "n_shingles", "id")
     judged = (

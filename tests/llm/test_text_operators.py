@@ -376,3 +376,33 @@ def test_toxicity_learns_a_pair_whose_terms_tell_nothing(spark):
 
     assert share("qqa zzb") >= 0.95
     assert max(share("qqa w1"), share("w1 zzb"), share("w1 w2")) <= 0.05
+
+
+def test_near_duplicates_bound_groups_of_apart_classes(spark, monkeypatch):
+    """With every class apart, all pairs meet and no group has more than two blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rows = [(1, i, i % 8, 8, i, i > 0) for i in range(64)]
+    parts = spark.createDataFrame(
+        rows, "band long, id long, block int, blocks int, part long, apart boolean"
+    )
+    groups: dict[tuple, list] = {}
+    for r in near_dedup.in_pairs_of_blocks(parts).collect():
+        groups.setdefault((r["block"], r["slot"]), []).append((r["id"], r["home"]))
+    met = {
+        (a, b)
+        for group in groups.values()
+        for (a, one), (b, other) in itertools.combinations(sorted(group), 2)
+        if one or other
+    }
+    assert met == set(itertools.combinations(range(64), 2))
+    # Slots are dealt by a hash, so they vary around BLOCK.
+    assert max(map(len, groups.values())) <= 32
+
+
+def test_signatures_of_long_texts_differ():
+    rng = np.random.default_rng(1)
+    one, other = (
+        near_dedup.signature(np.unique(rng.integers(0, 1 << 63, 200_000).astype(np.uint64)))
+        for _ in range(2)
+    )
+    assert (one == other).mean() < 0.05
