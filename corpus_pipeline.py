@@ -32,9 +32,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies: the one with the least id."""
-    found = near_dedup.near_duplicates(docs, NEAR_PERCENT)
-    return docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    """One document of every group of near copies: the one with the least id.
+
+    Of several texts with one id only those that were judged a copy go.
+    """
+    found = near_dedup.judged_texts(docs, NEAR_PERCENT)
+    copies = found.filter("not kept").select("doc_id", "text_hash").distinct()
+    marked = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = marked.join(copies, ["doc_id", "text_hash"], "left_anti")
+    return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

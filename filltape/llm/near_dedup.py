@@ -81,6 +81,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 _SETS = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
         ("n_shingles", pa.int64()),
         ("low", pa.int64()),
         ("high", pa.int64()),
@@ -104,7 +105,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part["doc_id"],
-                    *(pa.array(r, t) for r, t in zip(rows, _SETS.types[1:], strict=True)),
+                    part["text_hash"],
+                    *(pa.array(r, t) for r, t in zip(rows, _SETS.types[2:], strict=True)),
                 ],
                 schema=_SETS,
             )
@@ -236,12 +238,21 @@ def near_duplicates(
     are judged one by one, except that they count as one where they are the least of their
     class; an empty table gives no rows; other columns are ignored.
     """
+    found = judged_texts(docs, percent, id_col, text_col)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged_texts(
+    docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``near_duplicates`` with ``text_hash``, Spark's ``xxhash64`` of a row's text."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     sets = stored(
-        rows.mapInArrow(
-            _describe, "doc_id long, n_shingles long, low long, high long, signature binary"
+        rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _describe,
+            "doc_id long, text_hash long, n_shingles long, low long, high long, signature binary",
         ),
         "sets",
     )
@@ -318,13 +329,18 @@ def near_duplicates(
         found = components(links.union(stored(compared(second), "verified")))
     ids = named.select("low", "high", "n_shingles", "id")
     judged = (
-        taking.select("doc_id", "n_shingles", "low", "high")
+        taking.select("doc_id", "text_hash", "n_shingles", "low", "high")
         .join(ids, ["low", "high", "n_shingles"])
         .join(found, "id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        .select(
+            "doc_id",
+            "text_hash",
+            "n_shingles",
+            F.coalesce("component", "id").alias("component_id"),
+        )
     )
     others = sets.filter("n_shingles = 0 or doc_id is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
+        "doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")
     )
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return judged.union(others).withColumn("kept", kept)

@@ -406,3 +406,13 @@ def test_signatures_of_long_texts_differ():
         for _ in range(2)
     )
     assert (one == other).mean() < 0.05
+
+
+def test_pipeline_keeps_another_text_of_a_copy_s_id(spark):
+    import corpus_pipeline
+
+    base, other = sentence(21, 100), sentence(22, 100)
+    rows = [(1, base), (5, base), (5, other), (6, None), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert by_key(left) == by_key([(1, base), (5, other), (6, None), (None, base)])
