@@ -7,7 +7,9 @@ turns become conversations; the loss mask covers the text pieces of the trained
 
 ``<|turn|>role<|text|>piece piece ...<|end|>`` is one turn. A control string inside a
 role or text gets a backslash after its first character (one more if it has some), so
-no text can end a turn, and taking one backslash away restores it.
+no text can end a turn, and taking one backslash away restores it. Texts that follow one
+another are kept apart by ``<|part|>``, so no control string can be put together from
+several of them.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql.window import Window
 
 from filltape.llm.common import let
 
-TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+TURN, TEXT, END, NEXT = "<|turn|>", "<|text|>", "<|end|>", "<|part|>"
 KINDS = ("image", "audio", "document")
 OTHER = "other"
 #: Part type of ``format_turns``.
@@ -71,18 +73,34 @@ def _visited(part: Column) -> Column:
         piece.alias("piece"),
         F.length(piece).alias("chars"),
         is_text.alias("is_text"),
+        F.lit(0).alias("lead"),
         F.when(~is_text, kind).alias("kind"),
         F.when(~is_text, part["ref"]).alias("ref"),
         F.when(~is_text, _expanded(part)).otherwise(F.lit(0).cast("long")).alias("tokens"),
     )
 
 
+def _parted(pieces: Column) -> Column:
+    """Pieces with a mark in front of every text that follows another text."""
+
+    def mark(p: Column, i: Column) -> Column:
+        follows = p["is_text"] & F.coalesce(F.get(pieces, i - 1)["is_text"], F.lit(False))
+        marked = p.withField("piece", F.concat(F.lit(NEXT), p["piece"])).withField(
+            "lead", F.lit(len(NEXT))
+        )
+        return F.when(follows, marked).otherwise(p)
+
+    return F.transform(pieces, mark)
+
+
 def _placed(pieces: Column, start: Column) -> Column:
     """Pieces with their first code point, counted from the start of the turn."""
     before = lambda i: F.aggregate(
-        F.slice(pieces, 1, i), start.cast("long"), lambda total, p: total + p["chars"]
+        F.slice(pieces, 1, i),
+        start.cast("long"),
+        lambda total, p: total + p["lead"] + p["chars"],
     )
-    return F.transform(pieces, lambda p, i: p.withField("at", before(i)))
+    return F.transform(pieces, lambda p, i: p.withField("at", before(i) + p["lead"]))
 
 
 def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
@@ -104,9 +122,12 @@ def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
         "conv_id",
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
-        F.transform(
-            F.filter(F.coalesce(F.col("parts").cast(PARTS), none), lambda p: p.isNotNull()),
-            _visited,
+        let(
+            F.transform(
+                F.filter(F.coalesce(F.col("parts").cast(PARTS), none), lambda p: p.isNotNull()),
+                _visited,
+            ),
+            _parted,
         ).alias("pieces"),
     )
     head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))
@@ -161,9 +182,9 @@ def format_turns(turns: DataFrame, trained: str = "assistant") -> DataFrame:
 
 
 def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted text: role, and the texts between placeholders."""
+    """The turns of a formatted text: role, and the texts between placeholders and marks."""
     chunks = F.filter(F.split(formatted, r"<\|turn\|>"), lambda chunk: chunk != "")
-    placeholder = r"<\|(?:" + "|".join((*KINDS, OTHER)) + r")\|>"
+    placeholder = r"<\|(?:" + "|".join((*KINDS, OTHER, "part")) + r")\|>"
     return F.transform(
         chunks,
         lambda chunk: F.struct(

@@ -36,15 +36,26 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the cluster's shared checkpoint folder and read again.
 
     This cuts the lineage, so that a later step does not repeat an expensive one,
-    and it survives the loss of any executor. The folder is the session's
-    ``spark.checkpoint.dir``; only a session without one (tests, one machine) gets a
-    temporary folder.
+    and it survives the loss of any executor.
     """
     spark = frame.sparkSession
+    path = shared_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors share.
+
+    The folder is the session's ``spark.checkpoint.dir``. A session without one that runs
+    in this process alone gets a temporary folder; on a cluster, where every machine would
+    write to its own disk, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="filltape-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
