@@ -38,9 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = near_dedup.judged_texts(docs, NEAR_PERCENT)
     copies = found.filter("not kept").select("doc_id", "text_hash").distinct()
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = marked.join(copies, ["doc_id", "text_hash"], "left_anti")
-    return kept.select(*docs.columns)
+    # The whole row in one column, so that none of its columns clashes with the two keys.
+    marked = docs.select(
+        F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash")
+    )
+    return marked.join(copies, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +53,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     parsed = substring_dedup.substring_dedup(docs)
     cut = F.size("spans") > 0
     text = F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))
-    n_chars = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
-    row = F.col("row").withField("text", text).withField("n_chars", n_chars)
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", n_chars)
     return parsed.select(row.alias("row")).select("row.*")
 
 
