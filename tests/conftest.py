@@ -19,6 +19,7 @@ def session() -> SparkSession:
         # A zone with daylight saving: no result may depend on it.
         .config("spark.sql.session.timeZone", "America/New_York")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="filltape-"))
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="filltape-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
