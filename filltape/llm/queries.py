@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filltape.llm import (
     bpe,
     chat,
+    merkle,
     near_dedup,
     nearest,
     packing,
@@ -125,6 +126,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    own = leaf(F.col("n_chars"))
+    changed = F.when(tampered, leaf(F.col("n_chars") + 1)).otherwise(own)
+    found = merkle.manifest(docs, own, changed)
+    proof = merkle.proof_digest(F.col("path"))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof.alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -136,11 +159,84 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_merkle": op13_merkle,
 }
 
 _ESCAPE = r"""regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"""
 
+_FIELD = "coalesce(cast(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(_FIELD.format(f"cast({v} AS VARCHAR)") for v in values) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle": f"""
+      WITH RECURSIVE crc_steps AS (
+        SELECT i, i AS value, 0 AS step FROM range(256) AS r(i)
+        UNION ALL
+        SELECT i, CASE WHEN value & 1 = 1 THEN xor(value >> 1, 3988292384) ELSE value >> 1 END,
+               step + 1
+        FROM crc_steps WHERE step < 8),
+      crc AS (SELECT list(value ORDER BY i) AS t FROM crc_steps WHERE step = 8),
+      marked AS (
+        SELECT d.*, xor(4294967295, list_reduce(
+                 list_prepend(4294967295, list_transform(
+                   string_split(cast(doc_id AS VARCHAR), ''), lambda x: cast(ascii(x) AS BIGINT))),
+                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS id_crc
+        FROM documents d, crc),
+      hashed AS (
+        SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql("n_chars")} AS leaf,
+               CASE WHEN id_crc % 7 = 0 THEN {_leaf_sql("n_chars + 1")}
+                    ELSE {_leaf_sql("n_chars")} END AS changed
+        FROM marked),
+      leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+               count(*) OVER (PARTITION BY tree) AS n
+        FROM hashed),
+      lower AS (
+        SELECT tree, 0 AS level, idx, leaf AS hash, n FROM leaves
+        UNION ALL
+        SELECT tree, level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (n + 1) // 2
+        FROM lower WHERE n > 1 GROUP BY tree, level, idx // 2, n),
+      subroots AS (
+        SELECT tree, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n
+        FROM lower WHERE n = 1),
+      upper AS (
+        SELECT 0 AS level, idx, hash, n FROM subroots
+        UNION ALL
+        SELECT level + 1, idx // 2, sha256(string_agg(hash, '' ORDER BY idx)), (n + 1) // 2
+        FROM upper WHERE n > 1 GROUP BY level, idx // 2, n),
+      walked AS (
+        SELECT tree, idx AS own, 0 AS level, idx, '' AS proof, changed AS folded, false AS done
+        FROM leaves
+        UNION ALL
+        SELECT w.tree, w.own, w.level + 1, w.idx // 2, w.proof || coalesce(s.hash, ''),
+               sha256(CASE WHEN w.idx % 2 = 1 THEN s.hash || w.folded
+                           ELSE w.folded || coalesce(s.hash, '') END), false
+        FROM walked w JOIN lower m ON m.tree = w.tree AND m.level = w.level AND m.idx = w.idx
+        LEFT JOIN lower s ON s.tree = w.tree AND s.level = w.level
+                         AND s.idx = CASE WHEN w.idx % 2 = 0 THEN w.idx + 1 ELSE w.idx - 1 END
+        WHERE m.n > 1),
+      topped AS (
+        SELECT w.tree, w.own, 0 AS level, g.idx, w.proof, w.folded
+        FROM walked w JOIN lower m ON m.tree = w.tree AND m.level = w.level AND m.n = 1
+        JOIN subroots g ON g.tree = w.tree
+        UNION ALL
+        SELECT w.tree, w.own, w.level + 1, w.idx // 2, w.proof || coalesce(s.hash, ''),
+               sha256(CASE WHEN w.idx % 2 = 1 THEN s.hash || w.folded
+                           ELSE w.folded || coalesce(s.hash, '') END)
+        FROM topped w JOIN upper m ON m.level = w.level AND m.idx = w.idx
+        LEFT JOIN upper s ON s.level = w.level
+                         AND s.idx = CASE WHEN w.idx % 2 = 0 THEN w.idx + 1 ELSE w.idx - 1 END
+        WHERE m.n > 1)
+      SELECT l.doc_id, l.leaf, g.hash AS subroot, r.hash AS root, sha256(t.proof) AS proof_sha256,
+             t.folded AS folded_root, t.folded = r.hash AS verified
+      FROM leaves l JOIN subroots g ON g.tree = l.tree JOIN upper r ON r.n = 1
+      JOIN topped t ON t.tree = l.tree AND t.own = l.idx
+      JOIN upper m ON m.level = t.level AND m.idx = t.idx AND m.n = 1""",
     "op5_chat_format": f"""
       WITH turns AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
