@@ -18,10 +18,11 @@ from filltape.llm import (
     quality,
     shards,
     substring_dedup,
+    token_file,
     toxicity,
     url_rules,
 )
-from filltape.llm.common import table
+from filltape.llm.common import shared_path, table
 
 URL_RULES = [
     ("block", "net", "/"),
@@ -126,6 +127,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op12_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-file")
+    tokenizer = token_file.load_tokenizer(spark, public_tokenizers.path(TOKENIZER))
+    token_file.write(table(spark, sf_dir, "documents"), path, tokenizer, end=0)
+    return token_file.read(spark, path).select(
+        "doc_id",
+        "start",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
 
@@ -159,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_file": op12_token_file,
     "op13_merkle": op13_merkle,
 }
 
