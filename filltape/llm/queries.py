@@ -21,6 +21,7 @@ from filltape.llm import (
     token_file,
     toxicity,
     url_rules,
+    whitening,
 )
 from filltape.llm.common import shared_path, table
 
@@ -127,6 +128,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.quantised(F.col("embedding"), scale=64, shift=1_000_000)
+    return whitening.whiten(table(spark, sf_dir, "embeddings").withColumn("x", x), k=16)
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -175,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
     "op12_token_file": op12_token_file,
     "op13_merkle": op13_merkle,
 }
