@@ -23,9 +23,12 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +41,18 @@ MAX_TOKENIZER_BYTES = 64 << 20
 #: Frequencies add up to ``2 ** SCALE``; at most half as many different ids.
 SCALE = 20
 #: Ids of a block, lanes of a block, ids of a segment (documents are never split over two).
-BLOCK_IDS, LANES, SEGMENT_IDS = 1 << 17, 512, 1 << 17
+BLOCK_IDS, LANES, SEGMENT_IDS = 1 << 18, 1024, 1 << 18
 _LOWEST = np.uint64(1 << 31)
 _HEAD = struct.Struct("<III")
-#: Cached pieces of text of a task, and characters looked at together.
-_CACHED, _TOGETHER = 1 << 18, 1 << 20
+#: Pieces of text that a worker remembers, about, and their length; bytes coded together.
+_CACHED, _CACHED_BYTES, _TOGETHER, _FEW = 1 << 20, 64, 1 << 24, 1 << 12
 #: White space as the tokenizer's pattern sees it (the Unicode property).
 _W = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # A run of white space goes with what follows it, so no match of a byte-level pattern
 # spans two pieces, and no look-ahead sees across.
 _PIECE = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
+#: A space between white space, or after white space at the end of a text.
+_ODD = f"[{_W}] (?:[{_W}]|$)"
 
 SEGMENTS = (
     "part int, segment int, first long, doc_ids array<long>, lengths array<long>, "
@@ -85,19 +90,86 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self._tokenizer, self._kind = Tokenizer.from_str(tokenizer), kind
         self._tokenizer.encode_special_tokens = True
-        self._known: dict[str, bytes] = {}
+        self._known = pa.array([], pa.string())
+        self._ids = pa.array([], pa.binary())
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text; nulls are not allowed."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        groups = [self._joined(*_at_spaces(texts.filter(pc.invert(odd))))]
+        groups.append(self._joined(*_at_words(texts.filter(odd))))
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays(groups).take(pa.array(back))
+
+    def _joined(self, pieces: pa.Array, bounds: np.ndarray) -> pa.Array:
+        """The ids of texts whose pieces lie between ``bounds``."""
+        coded = pieces.dictionary_encode()
+        places = pc.index_in(coded.dictionary, value_set=self._known)
+        new = coded.dictionary.filter(places.is_null())
+        ids = self._encoded(new.to_pylist())
+        places = places.fill_null(-1).to_numpy().copy()
+        places[places < 0] = np.arange(len(self._known), len(self._known) + len(new))
+        chosen = places[coded.indices.to_numpy()]
+        values = pa.concat_arrays([self._ids, ids]).take(pa.array(chosen))
+        # What comes first is what is common; a full memory just takes no more.
+        if len(self._known) < _CACHED:
+            short = pc.less_equal(pc.binary_length(new), _CACHED_BYTES)
+            self._known = pa.concat_arrays([self._known, new.filter(short)])
+            self._ids = pa.concat_arrays([self._ids, ids.filter(short)])
+        return _binary(values, bounds)
+
+    def _encoded(self, pieces: list[str]) -> pa.Array:
+        ids: list[list[int]] = []
+        # A few at a time: what the library returns is much larger than the ids.
+        for start in range(0, len(pieces), _FEW):
+            few = pieces[start : start + _FEW]
+            found = self._tokenizer.encode_batch_fast(few, add_special_tokens=False)
+            ids += [own.ids for own in found]
+        ends = np.cumsum([0, *map(len, ids)])
+        numbers = np.fromiter(chain.from_iterable(ids), self._kind, ends[-1])
+        ends = (ends * numbers.itemsize).astype(np.int32)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(numbers)]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ids), buffers)
+
+
+def _binary(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The values between each two bounds as one."""
+    _, offsets, data = values.buffers()
+    starts = np.zeros(len(bounds), np.int32)
+    if len(values):
+        starts = np.frombuffer(offsets, np.int32, len(values) + 1)[bounds]
+    buffers = [None, pa.py_buffer(starts), data or pa.py_buffer(b"")]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, buffers)
+
+
+def _at_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut in front of every space, and where each text's pieces start.
+
+    No match of the pattern goes from something else on into white space, and before the
+    last of several white space characters with something behind it a match ends. Texts
+    with any other space (``_ODD``) must not come here.
+    """
+    lists = pc.split_pattern(texts, " ")
+    pieces, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    first = np.zeros(len(pieces), bool)
+    first[bounds[:-1]] = True
+    spaced = pc.binary_join_element_wise(pa.scalar(""), pieces, pa.scalar(" "))
+    return pc.if_else(pa.array(first), pieces, spaced), bounds
+
+
+def _at_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The same for any text: a run of white space stays whole, with what follows it."""
+    pieces = [_PIECE.findall(text) for text in texts.to_pylist()]
+    bounds = np.concatenate([[0], np.cumsum([len(own) for own in pieces])]).astype(np.int64)
+    return pa.array([piece for own in pieces for piece in own], pa.string()), bounds
+
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [_PIECE.findall(text) for text in texts]
-        known = self._known
-        new = list(set().union(*pieces).difference(known))
-        found = self._tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for piece, own in zip(new, found, strict=True):
-            known[piece] = np.array(own.ids, self._kind).tobytes()
-        coded = [b"".join(map(known.__getitem__, own)) for own in pieces]
-        if len(known) > _CACHED or any(len(piece) > 1024 for piece in new):
-            known.clear()
-        return coded
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str, kind: str) -> _Encoder:
+    """One encoder for all tasks of a worker, so that they share what it remembers."""
+    return _Encoder(tokenizer, kind)
 
 
 def encode(text: Column, tokenizer: Broadcast, end: int, kind: str = "<u4") -> Column:
@@ -105,20 +177,19 @@ def encode(text: Column, tokenizer: Broadcast, end: int, kind: str = "<u4") -> C
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, last = _Encoder(tokenizer.value, kind), np.array(end, kind).tobytes()
+        encoder, last = _encoder(tokenizer.value, kind), np.array(end, kind).tobytes()
         for batch in batches:
-            coded: list[bytes] = []
-            group: list[str] = []
-            size = 0
-            for value in batch:
-                group.append(value.as_py() or "")
-                size += len(group[-1])
-                if size > _TOGETHER:
-                    coded += encoder.encode(group)
-                    group, size = [], 0
-            if group:
-                coded += encoder.encode(group)
-            yield pa.array([own + last for own in coded], pa.binary())
+            texts = pc.fill_null(batch, "")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            cuts = np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, _TOGETHER))
+            cuts = [*np.unique(np.concatenate([[0], cuts])), len(texts)]
+            groups = [
+                encoder.encode(texts.slice(low, high - low))
+                for low, high in pairwise(cuts)
+                if high > low
+            ]
+            coded = pa.concat_arrays(groups) if groups else pa.array([], pa.binary())
+            yield pc.binary_join_element_wise(coded, pa.scalar(last), pa.scalar(b""))
 
     return ids(text)
 

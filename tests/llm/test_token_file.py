@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,15 +46,16 @@ def test_blocks_round_trip(count, kinds):
     assert (table.decode_block(memoryview(block + b"what follows")) == ids).all()
     if kinds == 50_000 and count > 100_000:
         share = table.share[np.searchsorted(table.ids, ids)] / (1 << token_file.SCALE)
-        assert len(block) < 1.05 * -np.log2(share).sum() / 8
+        least = -np.log2(share).sum() / 8
+        assert least < len(block) < 1.01 * least + 8 * token_file.LANES
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab '1.é你\t\n \x0b\x1c\x85\xa0 　​-<|>", max_size=30)))
 def test_pieces_give_the_ids_of_whole_texts(texts):
     encoder, tokenizer = test_pieces_give_the_ids_of_whole_texts.both
-    for text, coded in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(coded, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for text, coded in zip(texts, encoder.encode(pa.array(texts, pa.string())), strict=True):
+        assert np.frombuffer(coded.as_py(), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 with open(PATH, encoding="utf-8") as file:
@@ -67,7 +69,7 @@ def rows() -> list[tuple]:
     rng = random.Random(5)
     words = ["word", "'s", "Ünder", "1234", "<|endoftext|>", "你好", "\n\n", "  ", "x" * 3000, "\x00"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)]
-    long = [" ".join(rng.choice(words[:6]) for _ in range(150_000)), " " * 5000 + "end", "!" * 9]
+    long = [" ".join(rng.choice(words[:6]) for _ in range(400_000)), " " * 5000 + "end", "!" * 9]
     some = list(enumerate([*texts, *long, "", None], start=-3))
     return [*some, (7, "again"), (7, "again"), (7, "other"), (None, "no id"), (None, None)]
 
