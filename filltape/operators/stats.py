@@ -41,7 +41,7 @@ def db_stats(fills: DataFrame, quarantine: DataFrame) -> DataFrame:
 
 
 def partition_counts(df: DataFrame) -> DataFrame:
-    """Rows per day, oldest first. On a stored table only file footers are read."""
+    """Rows per day, oldest first. ``store.partition_counts`` knows them without the rows."""
     counts = df.groupBy(_day(df).alias("day")).agg(F.count("*").alias("row_count"))
     return counts.select(day_label(F.col("day")).alias("date"), "row_count").orderBy("date")
 

@@ -127,3 +127,26 @@ RUNS = _struct(
     ("files_missing", _LONG),
     ("files_failed", _LONG),
 )
+
+# One row per hour of a commit (``kind`` is ``hours``), and one per stored partition the
+# hour consists of from then on, with what is known of it. See ``sources/commits.py``.
+COMMITS = T.StructType(
+    _struct(
+        ("commit_id", _STR),
+        ("load_id", _STR),
+        ("run_id", _STR),
+        ("loaded_at", _TS),
+        ("committed_at", _TS),
+        ("src_hour", _STR),
+        ("src_key", _STR),
+        ("status", _STR),
+        ("kind", _STR),
+        ("event_date", T.DateType()),
+        ("folder", _STR),
+        ("rows", _LONG),
+        ("min_time", _TS),
+        ("max_time", _TS),
+        ("clustered", _BOOL),
+    ).fields
+    + [T.StructField("reasons", T.MapType(_STR, _LONG), True)]
+)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import codecs
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,14 @@ _LINES_ARROW = pa.schema(
 )
 _CHUNK_BYTES = 4 << 20
 
-# The characters Unicode calls white space.
+# The characters Unicode calls white space, and outcomes of an object.
 _WHITE = (
     "\t\n\x0b\x0c\r \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+_PROCESSED, _NO_FRAME, _NO_TEXT = "processed", "failed_decompress", "failed_ingest"
+_BLANK = rf"\A[{_WHITE}]*\z"
 
 
 class Object(NamedTuple):
@@ -58,116 +62,92 @@ def existing_objects(
     return objects
 
 
+def largest(spark: SparkSession) -> int:
+    """Bytes that an object may have to be read: the reader hands out each as one value."""
+    return int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+
+
 def read_hours(spark: SparkSession, objects: list[Object]) -> DataFrame:
     """``key, content`` of the given objects, all through Spark's own file system.
 
-    An object that is missing or cannot be read is left out, so its hour can be reported
-    as failed while the rest go on. Access that is denied ends the load: Spark's reader
-    would skip such objects one by one, so the first one is opened here. An object that
-    is too large for one value fails the job.
+    An object that is missing or cannot be read is left out, so the others go on; whoever
+    asked for it sees that it has no outcome, and opens it to learn why.
     """
     if not objects:
         return spark.createDataFrame([], "key string, content binary")
-    files.probe(spark, objects[0].path)
     # All paths end in <prefix>/<YYYYMMDD>/<HH>.lz4, so the key is a fixed number of segments.
     depth = objects[0].key.count("/") + 1
-    return (
+    reader = (
         spark.read.format("binaryFile")
         .option("ignoreCorruptFiles", "true")
         .option("ignoreMissingFiles", "true")
-        .load([o.path for o in objects])
-        .select(F.substring_index("path", "/", -depth).alias("key"), "content")
     )
-
-
-def _decompressed(content: pa.Buffer) -> Iterator[bytes]:
-    with pa.CompressedInputStream(pa.BufferReader(content), "lz4") as stream:
-        while chunk := stream.read(_CHUNK_BYTES):
-            yield chunk
-
-
-def _check(content: pa.Buffer) -> str:
-    """Read the object to its end without keeping anything.
-
-    Decoding is cheap next to parsing, and knowing the outcome up front means no
-    line of a broken hour is ever passed on.
-    """
-    if not content.size:
-        return "failed_decompress"
-    text = codecs.getincrementaldecoder("utf-8")()
-    readable = True
     try:
-        for chunk in _decompressed(content):
-            try:
-                if readable:
-                    text.decode(chunk)
-            except UnicodeDecodeError:
-                readable = False
-    except (OSError, pa.ArrowException):
-        return "failed_decompress"
-    try:
-        if readable:
-            text.decode(b"", final=True)
-    except UnicodeDecodeError:
-        readable = False
-    return "processed" if readable else "failed_ingest"
+        found = reader.load([o.path for o in objects])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Gone since they were listed.
+        return read_hours(spark, [o for o in objects if files.matching(spark, o.path)])
+    return found.select(F.substring_index("path", "/", -depth).alias("key"), "content")
 
 
-def _line_groups(content: pa.Buffer) -> Iterator[list[str]]:
-    """Complete lines, one group per decoded chunk; a line may span any number of chunks."""
+def _line_groups(stream: pa.NativeFile) -> Iterator[pa.Array]:
+    """Complete lines as bytes, one group per decoded chunk; a line may span any number of chunks."""
     pending: list[bytes] = []
-    for chunk in _decompressed(content):
+    while chunk := stream.read(_CHUNK_BYTES):
         head, newline, tail = chunk.rpartition(b"\n")
         if not newline:
             pending.append(chunk)
             continue
-        text = b"".join([*pending, head]).decode()
-        pending = [tail]
-        yield text.split("\n")
-    if last := b"".join(pending):
-        yield [last.decode()]
+        whole = b"".join([*pending, head]) if pending else head
+        pending = [tail] if tail else []
+        yield pc.split_pattern(pa.array([whole], pa.binary()), b"\n").flatten()
+    if pending:
+        yield pa.array([b"".join(pending)], pa.binary())
+
+
+def _rows(key: str, status: str | None, numbers: pa.Array, lines: pa.Array) -> pa.RecordBatch:
+    count = len(numbers)
+    columns = [pa.repeat(pa.scalar(key, pa.string()), count)]
+    columns.append(pa.repeat(pa.scalar(status, pa.string()), count))
+    return pa.RecordBatch.from_arrays([*columns, numbers, lines], schema=_LINES_ARROW)
+
+
+def _decoded(key: str, content: pa.Buffer) -> Iterator[pa.RecordBatch]:
+    """The lines of one object, then its outcome."""
+    status, seen = _PROCESSED if content.size else _NO_FRAME, 0
+    try:
+        with pa.CompressedInputStream(pa.BufferReader(content), "lz4") as stream:
+            for group in _line_groups(stream) if content.size else ():
+                if status != _PROCESSED:
+                    # What is left is read only to see whether the frame is whole.
+                    continue
+                try:
+                    lines = group.cast(pa.string())
+                except pa.ArrowInvalid:
+                    status = _NO_TEXT
+                    continue
+                numbers = np.arange(seen + 1, seen + 1 + len(lines))
+                seen += len(lines)
+                told = pc.invert(pc.match_substring_regex(lines, _BLANK))
+                yield _rows(key, None, pa.array(numbers).filter(told), lines.filter(told))
+    except (OSError, pa.ArrowException):
+        status = _NO_FRAME
+    yield _rows(key, status, pa.array([None], pa.int64()), pa.array([None], pa.string()))
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, content in zip(batch.column("key"), batch.column("content"), strict=True):
-            name, buffer = key.as_py(), content.as_buffer()
-            status = _check(buffer)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name]),
-                    pa.array([status]),
-                    pa.array([None], pa.int64()),
-                    pa.array([None], pa.string()),
-                ],
-                schema=_LINES_ARROW,
-            )
-            if status != "processed":
-                continue
-            number = 0
-            for group in _line_groups(buffer):
-                kept = [
-                    (number + i, line) for i, line in enumerate(group, 1) if line.strip(_WHITE)
-                ]
-                number += len(group)
-                if kept:
-                    numbers, lines = zip(*kept, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.repeat(name, len(kept)),
-                            pa.repeat(status, len(kept)),
-                            pa.array(numbers, pa.int64()),
-                            pa.array(lines, pa.string()),
-                        ],
-                        schema=_LINES_ARROW,
-                    )
+            yield from _decoded(key.as_py(), content.as_buffer())
 
 
 def decode_lines(objects: DataFrame) -> DataFrame:
-    """Lines ``key, status, line_no, line`` of a frame ``key, content``.
+    """Lines ``key, status, line_no, line`` of a frame ``key, content``, each object read once.
 
-    Lines are numbered from 1; blank ones count but are left out. Every object
-    also yields one row without a line that holds its outcome. Of an object that
-    does not decode to its end, no line comes out.
+    Lines are numbered from 1; blank ones count but are left out. After its lines every
+    object yields one row without a line that holds its outcome. Lines of an object with
+    any other outcome than ``processed`` are not to be used.
     """
     return objects.mapInArrow(_decode, LINES)

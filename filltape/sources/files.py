@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -18,18 +20,33 @@ def matching(spark: SparkSession, pattern: str) -> dict[str, int]:
     return {status.getPath().toString(): status.getLen() for status in found}
 
 
-def probe(spark: SparkSession, path: str) -> None:
-    """Open a file; raises ``PermissionError`` if that is not allowed.
+# Why a file cannot be read.
+DENIED, MISSING, OTHER = "denied", "missing", "other"
+
 
-    Any other fault is left to whoever reads the file.
-    """
+def fault(spark: SparkSession, path: str) -> str:
+    """Why a file could not be read, found by opening it: access, gone, or anything else."""
     fs, where = _resolve(spark, path)
     try:
         fs.open(where).close()
     except Py4JJavaError as error:
-        kind = error.java_exception.getClass().getName()
-        if kind.rsplit(".", 1)[-1] in ("AccessDeniedException", "AccessControlException"):
-            raise PermissionError(f"no access to {path}") from error
+        name = error.java_exception.getClass().getName().rsplit(".", 1)[-1]
+        text = error.java_exception.getMessage() or ""
+        # The local file system has no exception of its own for denied access.
+        if name.startswith("Access") or text.endswith("(Permission denied)"):
+            return DENIED
+        return MISSING if name == "FileNotFoundException" else OTHER
+    return OTHER
+
+
+def modified(spark: SparkSession, pattern: str) -> dict[str, datetime]:
+    """Full paths that match a glob pattern and when they were changed last, in UTC."""
+    fs, where = _resolve(spark, pattern)
+    return {
+        status.getPath().toString(): datetime(1970, 1, 1)
+        + timedelta(milliseconds=status.getModificationTime())
+        for status in fs.globStatus(where) or []
+    }
 
 
 def make_dirs(spark: SparkSession, path: str) -> None:
@@ -41,9 +58,3 @@ def delete(spark: SparkSession, path: str) -> bool:
     """Delete a directory with its content; false when it is gone already."""
     fs, where = _resolve(spark, path)
     return fs.delete(where, True)
-
-
-def size(spark: SparkSession, path: str) -> int:
-    """Bytes below a path."""
-    fs, where = _resolve(spark, path)
-    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0

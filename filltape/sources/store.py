@@ -1,9 +1,11 @@
 """The stored tables.
 
-``<root>/tables/kind=…/event_date=…/src_hour=…`` holds Parquet files: ``fills``,
-``quarantine`` and one outcome row per loaded hour in ``hours``. One folder tree
-for all three lets a load write them in a single pass. ``event_date`` is the day
-of a row's time, ``src_hour`` the hour of the object it came from.
+``<root>/tables/load_id=…/kind=…/event_date=…/src_hour=…`` holds Parquet files: ``fills``,
+``quarantine`` and one outcome row per object in ``hours``. One folder tree for all three
+lets a load write them in a single pass. ``event_date`` is the day of a row's time,
+``src_hour`` the hour of the object it came from. A folder is written once; which folders
+make up a table is said by the commit records (``sources/commits.py``), and a frame keeps
+to the records there were when it was made.
 ``<root>/runs`` is the log of load runs.
 """
 
@@ -11,31 +13,25 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filltape import params
-from filltape.functions import hour_label
-from filltape.operators.coins import max_fill_time
+from filltape.functions import day_label, hour_label
 from filltape.schema import PARTITION_COLUMNS, PARTITIONS, RUNS, STORED_FILLS, STORED_QUARANTINE
-from filltape.sources import files
+from filltape.sources import commits, files
 
-FILLS, QUARANTINE, HOURS = "fills", "quarantine", "hours"
+FILLS, QUARANTINE, HOURS = "fills", "quarantine", commits.HOURS
 
 _LOAD_ID = T.StructField("load_id", T.StringType(), True)
+_KIND = T.StructField("kind", T.StringType(), True)
+_STATUS = T.StructField("status", T.StringType(), True)
 _SCHEMAS = {
     FILLS: T.StructType(STORED_FILLS.fields + [_LOAD_ID]),
     QUARANTINE: T.StructType(STORED_QUARANTINE.fields + [_LOAD_ID]),
-    HOURS: T.StructType(
-        [
-            T.StructField("src_key", T.StringType()),
-            T.StructField("status", T.StringType()),
-            _LOAD_ID,
-            *PARTITIONS.fields,
-        ]
-    ),
 }
+_WRITTEN = T.StructType(STORED_QUARANTINE.fields + [_STATUS, _KIND])
 
 # Rows of a file lie by coin and time, so row groups can be skipped for a coin;
 # bloom filters do the same for the columns looked up by value.
@@ -49,43 +45,64 @@ def tables_path(root: str) -> str:
     return f"{root.rstrip('/')}/tables"
 
 
-def table_path(root: str, kind: str) -> str:
-    return f"{tables_path(root)}/kind={kind}"
+def folder_path(root: str, folder: str) -> str:
+    return f"{tables_path(root)}/load_id={folder}"
+
+
+def partition_path(root: str, record: commits.Record) -> str:
+    day, hour = record["event_date"].isoformat(), record["src_hour"]
+    folder = folder_path(root, record["folder"])
+    return f"{folder}/kind={record['kind']}/event_date={day}/src_hour={hour}"
 
 
 def runs_path(root: str) -> str:
     return f"{root.rstrip('/')}/runs"
 
 
-def stored_days(spark: SparkSession, root: str, kind: str) -> dict[date, str]:
-    """Day partitions of a table and their folders. Names that hold no date are skipped."""
-    days = {}
-    for path in files.matching(spark, f"{table_path(root, kind)}/event_date=*"):
-        try:
-            days[date.fromisoformat(path.rsplit("=", 1)[1])] = path
-        except ValueError:
-            continue
+def ensure_tables(spark: SparkSession, root: str) -> None:
+    """Create what is missing. The schemas are constants, so a table may start without files."""
+    for path in (tables_path(root), commits.commits_path(root), runs_path(root)):
+        files.make_dirs(spark, path)
+
+
+def _partitions(
+    spark: SparkSession, root: str, kind: str, first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """Records of the partitions of a table, of the days ``first`` to ``last`` if given."""
+    records = commits.live(spark, root).filter(F.col("kind") == kind)
+    if first is not None:
+        records = records.filter(F.col("event_date") >= F.lit(first))
+    if last is not None:
+        records = records.filter(F.col("event_date") <= F.lit(last))
+    return records
+
+
+def stored_days(spark: SparkSession, root: str, kind: str) -> dict[date, list[str]]:
+    """Days of a table and their folders, in order."""
+    days: dict[date, list[str]] = {}
+    records = _partitions(spark, root, kind).select("event_date", "src_hour", "folder", "kind")
+    for record in sorted(records.collect()):
+        days.setdefault(record["event_date"], []).append(partition_path(root, record.asDict()))
     return days
 
 
-def ensure_tables(spark: SparkSession, root: str) -> None:
-    """Create what is missing. The schemas are constants, so a table may start without files."""
-    for kind in _SCHEMAS:
-        files.make_dirs(spark, table_path(root, kind))
-    files.make_dirs(spark, runs_path(root))
+def read_paths(spark: SparkSession, root: str, kind: str, paths: list[str]) -> DataFrame:
+    """The rows of some partitions; nothing else is listed."""
+    schema = _SCHEMAS[kind]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("basePath", tables_path(root))
+    return reader.parquet(*paths).select(*schema.fieldNames())
 
 
 def read_table(
-    spark: SparkSession, root: str, kind: str, days: list[str] | None = None
+    spark: SparkSession, root: str, kind: str, first: date | None = None, last: date | None = None
 ) -> DataFrame:
-    """One stored table, or some of its day folders; only those are listed then."""
-    reader = spark.read.schema(_SCHEMAS[kind])
-    base = table_path(root, kind)
-    if days is None:
-        return reader.parquet(base)
-    if not days:
-        return spark.createDataFrame([], _SCHEMAS[kind])
-    return reader.option("basePath", base).parquet(*days)
+    """One stored table, or some of its days. Only names of partitions reach the driver."""
+    records = _partitions(spark, root, kind, first, last)
+    records = records.select("event_date", "src_hour", "folder", "kind").collect()
+    paths = [partition_path(root, record.asDict()) for record in sorted(records)]
+    return read_paths(spark, root, kind, paths)
 
 
 def fills(
@@ -96,55 +113,57 @@ def fills(
         return read_table(spark, root, FILLS)
     start, end = params.time_range(start, end)
     last = (end - timedelta(microseconds=1)).date()
-    days = stored_days(spark, root, FILLS)
-    inside = [path for day, path in sorted(days.items()) if start.date() <= day <= last]
-    return read_table(spark, root, FILLS, inside)
+    return read_table(spark, root, FILLS, start.date(), last)
 
 
-def _edge_day(spark: SparkSession, root: str, newest: bool) -> DataFrame:
-    """Fills of the newest or oldest day that holds any."""
-    for _, path in sorted(stored_days(spark, root, FILLS).items(), reverse=newest):
-        day = read_table(spark, root, FILLS, [path])
-        if not day.select("time").isEmpty():
-            return day
-    return read_table(spark, root, FILLS, [])
+def quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """Stored rejected rows."""
+    return read_table(spark, root, QUARANTINE)
 
 
 def newest_fill(spark: SparkSession, root: str) -> DataFrame:
-    """``max_time`` of the fills, in one row. Only the newest day that holds rows is read."""
-    return max_fill_time(_edge_day(spark, root, newest=True))
+    """``max_time`` of the fills, in one row, from the records."""
+    return _partitions(spark, root, FILLS).agg(F.max("max_time").alias("max_time"))
 
 
 def db_stats(spark: SparkSession, root: str) -> DataFrame:
-    """``stats.db_stats`` of the stored tables without a scan of them.
+    """``stats.db_stats`` of the stored tables, from the records."""
+    is_fills = F.col("kind") == FILLS
 
-    Counts come from file footers, the time span from the oldest and the newest day.
-    """
-    days = [_edge_day(spark, root, newest) for newest in (False, True)]
-    edges = days[0].unionByName(days[1]).agg(
-        F.min("time").alias("min_time"), F.max("time").alias("max_time")
+    def rows(chosen: Column) -> Column:
+        return F.coalesce(F.sum(F.when(chosen, F.col("rows"))), F.lit(0).cast("bigint"))
+
+    return commits.live(spark, root).agg(
+        rows(is_fills).alias("fills_count"),
+        rows(F.col("kind") == QUARANTINE).alias("quarantine_count"),
+        F.min(F.when(is_fills, F.col("min_time"))).alias("min_time"),
+        F.max(F.when(is_fills, F.col("max_time"))).alias("max_time"),
     )
-    counts = read_table(spark, root, FILLS).agg(F.count("*").alias("fills_count"))
-    rejected = quarantine(spark, root).agg(F.count("*").alias("quarantine_count"))
-    parts = counts.unionByName(rejected, allowMissingColumns=True)
-    parts = parts.unionByName(edges, allowMissingColumns=True)
-    # Every part is one row and fills its own columns.
-    names = ("fills_count", "quarantine_count", "min_time", "max_time")
-    return parts.agg(*[F.max(name).alias(name) for name in names])
 
 
-def quarantine(spark: SparkSession, root: str) -> DataFrame:
-    """Stored rejected rows."""
-    return read_table(spark, root, QUARANTINE)
+def partition_counts(spark: SparkSession, root: str, kind: str = FILLS) -> DataFrame:
+    """``stats.partition_counts`` of a stored table, from the records."""
+    counts = _partitions(spark, root, kind).groupBy("event_date")
+    return (
+        counts.agg(F.sum("rows").alias("row_count"))
+        .select(day_label(F.col("event_date")).alias("date"), "row_count")
+        .orderBy("date")
+    )
+
+
+def quarantine_reasons(spark: SparkSession, root: str) -> DataFrame:
+    """``validate.quarantine_reasons`` of the stored rejected rows, from the records."""
+    reasons = _partitions(spark, root, QUARANTINE).select(F.explode("reasons").alias("reason", "n"))
+    return reasons.groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 def hours(spark: SparkSession, root: str) -> DataFrame:
-    """Outcome of the latest load of every hour."""
-    return read_table(spark, root, HOURS)
+    """``src_hour, src_key, status`` of every hour that is in the tables."""
+    return _partitions(spark, root, HOURS).select("src_hour", "src_key", "status")
 
 
 def register(spark: SparkSession, root: str) -> None:
-    """Make the tables available to SQL as ``fills`` and ``fills_quarantine``."""
+    """Make the tables, as they are now, available to SQL as ``fills`` and ``fills_quarantine``."""
     fills(spark, root).createOrReplaceTempView("fills")
     quarantine(spark, root).createOrReplaceTempView("fills_quarantine")
 
@@ -153,25 +172,61 @@ def runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RUNS).parquet(runs_path(root))
 
 
-def write_tables(rows: DataFrame, root: str) -> None:
-    """Write rows of any ``kind``, replacing each partition they touch as a whole.
+def write_rows(rows: DataFrame, root: str, folder: str) -> None:
+    """Write rows of any ``kind`` to a new folder, where nobody reads them before a commit.
 
-    Spark writes to a staging folder and moves complete partitions when all
-    tasks are done, so readers never see half an hour. Rows are gathered by partition
-    first, so a small hour is one file; adaptive execution splits a large one.
+    Rows are gathered by partition first, so a small hour is one file; adaptive execution
+    splits a large one.
     """
+    write_ordered(rows.hint("rebalance", "kind", *PARTITION_COLUMNS), root, folder)
+
+
+def write_ordered(rows: DataFrame, root: str, folder: str) -> None:
+    """The same for rows that lie where they should, but for their order inside a task."""
     keys = ["kind", *PARTITION_COLUMNS]
     (
-        rows.hint("rebalance", *keys)
-        .sortWithinPartitions(*keys, *[name for name in CLUSTERING if name in rows.columns])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .options(**_PARQUET_OPTIONS)
+        rows.sortWithinPartitions(*keys, *[name for name in CLUSTERING if name in rows.columns])
+        .write.options(**_PARQUET_OPTIONS)
         .partitionBy(*keys)
-        .parquet(tables_path(root))
+        .parquet(folder_path(root, folder))
     )
 
 
+def written(spark: SparkSession, root: str, folder: str) -> list[commits.Record]:
+    """A record of every partition of a folder, and of every hour that has an outcome there.
+
+    Reads the times and reasons of what was just written, once; whoever wants to know
+    later asks the records.
+    """
+    path = folder_path(root, folder)
+    rows = spark.read.schema(_WRITTEN).option("basePath", path).parquet(path)
+    groups = rows.groupBy("kind", *PARTITION_COLUMNS, "reason").agg(
+        F.count("*").alias("rows"),
+        F.min("time").alias("min_time"),
+        F.max("time").alias("max_time"),
+        F.max("status").alias("status"),
+        F.max("src_key").alias("src_key"),
+    )
+    found: dict[tuple, commits.Record] = {}
+    for group in groups.collect():
+        own = group.asDict()
+        reason = own.pop("reason")
+        is_hour = own["kind"] == HOURS
+        if is_hour:
+            own |= dict.fromkeys(("event_date", "rows", "min_time", "max_time"))
+        key = own["kind"], own["event_date"], own["src_hour"]
+        if key in found and not is_hour:
+            have = found[key]
+            have["rows"] += own["rows"]
+            have["min_time"] = min(have["min_time"], own["min_time"])
+            have["max_time"] = max(have["max_time"], own["max_time"])
+        else:
+            found[key] = own | {"reasons": {}}
+        if reason is not None and not is_hour:
+            found[key]["reasons"][reason] = own["rows"]
+    return list(found.values())
+
+
 def _with_partitions(df: DataFrame) -> DataFrame:
     """Add the partition columns where a frame lacks them, taking its own time as the hour."""
     if "event_date" not in df.columns:
@@ -181,14 +236,34 @@ def _with_partitions(df: DataFrame) -> DataFrame:
     return df
 
 
+def _replace(df: DataFrame, root: str, kind: str) -> None:
+    """Put rows in the place of the partitions they touch; the rest of their hours stays."""
+    spark, folder = df.sparkSession, commits.new_id()
+    ensure_tables(spark, root)
+    rows = _with_partitions(df).withColumn("kind", F.lit(kind)).drop("load_id")
+    write_rows(rows, root, folder)
+    new = written(spark, root, folder)
+    touched = {(p["kind"], p["event_date"], p["src_hour"]) for p in new}
+    by_hour = {p["src_hour"]: {"kind": HOURS, "src_hour": p["src_hour"]} for p in new}
+    for record in commits.live(spark, root).collect():
+        if record["src_hour"] in by_hour:
+            own = record.asDict()
+            if record["kind"] == HOURS:
+                by_hour[record["src_hour"]] = own
+            elif (record["kind"], record["event_date"], record["src_hour"]) not in touched:
+                new.append(own)
+    new += [hour | {"status": commits.PROCESSED} for hour in by_hour.values()]
+    commits.append(spark, root, commits.load_records(new, folder, folder))
+
+
 def write_fills(df: DataFrame, root: str) -> None:
-    """Replace the hours of ``df`` in the fills table."""
-    write_tables(_with_partitions(df).withColumn("kind", F.lit(FILLS)), root)
+    """Replace the days of hours of ``df`` in the fills table."""
+    _replace(df, root, FILLS)
 
 
 def write_quarantine(df: DataFrame, root: str) -> None:
-    """Replace the hours of ``df`` in the quarantine table."""
-    write_tables(_with_partitions(df).withColumn("kind", F.lit(QUARANTINE)), root)
+    """Replace the days of hours of ``df`` in the quarantine table."""
+    _replace(df, root, QUARANTINE)
 
 
 def append_run(spark: SparkSession, root: str, entry: dict) -> None:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import random
+from pathlib import Path
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from filltape import fixtures
-from filltape.operators import bars, decode, lookup, stats, validate
+from filltape.operators import bars, coins, decode, lookup, stats, validate
 from filltape.plans import load, runs, upkeep
 from filltape.schema import FILL_COLUMNS
-from filltape.sources import archive, files, store
+from filltape.sources import archive, commits, files, store
 from filltape.sources.jsonl import read_jsonl
 from tests.blocks import block, fill, lz4
 from tests.blocks import store as put
@@ -43,32 +45,43 @@ def decoded(spark, *contents: bytes) -> list[tuple]:
     return [tuple(row) for row in archive.decode_lines(frame).collect()]
 
 
+def outcomes(rows: list[tuple]) -> list[tuple]:
+    return [(row[0], row[1]) for row in rows if row[2] is None]
+
+
 def test_decode_lines_numbers_all_and_skips_blank(spark):
-    rows = decoded(spark, lz4("one\n\n 　\r\ntwo\r\nthree\n"))
+    rows = decoded(spark, lz4("one\n\n \u3000\r\ntwo\r\n\x85\n\x1c\nthree\n"), lz4("\n\na"))
     assert rows == [
+        ("k0", None, 1, "one"),
+        ("k0", None, 4, "two\r"),
+        ("k0", None, 6, "\x1c"),
+        ("k0", None, 7, "three"),
         ("k0", "processed", None, None),
-        ("k0", "processed", 1, "one"),
-        ("k0", "processed", 4, "two\r"),
-        ("k0", "processed", 5, "three"),
+        ("k1", None, 3, "a"),
+        ("k1", "processed", None, None),
     ]
 
 
-def test_broken_objects_yield_no_lines(spark):
+def test_outcomes_of_broken_objects_come_last(spark):
     whole = lz4("x" * 100 + "\n" + "y" * 9_000_000)
-    rows = decoded(spark, b"", b"not lz4", whole[:-9], lz4(b"ok\n\xff\xfe\n"), lz4(""))
-    assert rows == [
-        ("k0", "failed_decompress", None, None),
-        ("k1", "failed_decompress", None, None),
-        ("k2", "failed_decompress", None, None),
-        ("k3", "failed_ingest", None, None),
-        ("k4", "processed", None, None),
+    not_text = lz4(b"ok\n" + b"z" * 9_000_000 + b"\n\xff\xfe\n")
+    both = lz4(b"\xff\n" + random.Random(1).randbytes(9_000_000) + b"\n")[:-9]
+    contents = [b"", b"not lz4", whole[:-9], not_text, lz4(""), both, whole + b"junk"]
+    assert outcomes(decoded(spark, *contents)) == [
+        ("k0", "failed_decompress"),
+        ("k1", "failed_decompress"),
+        ("k2", "failed_decompress"),
+        ("k3", "failed_ingest"),
+        ("k4", "processed"),
+        ("k5", "failed_decompress"),
+        ("k6", "failed_decompress"),
     ]
 
 
 def test_lines_that_span_chunks(spark):
     long = "é" * 5_000_000
     rows = decoded(spark, lz4(f"a\n{long}\nb\n{long}"))
-    assert [(row[2], len(row[3])) for row in rows[1:]] == [
+    assert [(row[2], len(row[3])) for row in rows[:-1]] == [
         (1, 1),
         (2, 5_000_000),
         (3, 1),
@@ -115,34 +128,207 @@ def test_objects_that_cannot_be_read_fail_their_hour_only(spark, tmp_path):
     }
 
 
-def test_missing_and_broken_objects_fail_alone_and_denied_access_ends_the_run(
-    spark, tmp_path, monkeypatch
-):
+def test_broken_objects_fail_alone(spark, tmp_path):
     put_hour(tmp_path, "00", block(fill(time=at(0))))
     put_hour(tmp_path, "01", *[block(fill(time=at(1), hash=str(i))) for i in range(300)])
     put_hour(tmp_path, "02", raw=b"junk" * 1000)
     span = datetime(2025, 7, 27), datetime(2025, 7, 28)
     objects = archive.existing_objects(spark, str(tmp_path / "source"), "a/b", *span)
-    decoded = archive.decode_lines(archive.read_hours(spark, objects))
-    counts = decoded.groupBy("key", "status").count().collect()
-    assert sorted((row["key"][-6:-4], row["status"], row["count"]) for row in counts) == [
+    rows = archive.decode_lines(archive.read_hours(spark, objects))
+    counts = rows.groupBy("key").agg(F.max("status").alias("status"), F.count("*").alias("n"))
+    assert sorted((row["key"][-6:-4], row["status"], row["n"]) for row in counts.collect()) == [
         ("00", "processed", 2),
         ("01", "processed", 301),
         ("02", "failed_decompress", 1),
     ]
     assert archive.read_hours(spark, []).collect() == []
-    files.probe(spark, str(tmp_path / "nothing there"))
 
-    def deny(spark, path):
-        raise PermissionError(path)
 
-    monkeypatch.setattr(files, "probe", deny)
-    with pytest.raises(PermissionError):
-        run(spark, tmp_path)
-    latest = runs.ingest_status(store.runs(spark, str(tmp_path / "root"))).first()
+def unreadable() -> Path | None:
+    """A file that nobody may open for reading, the superuser included."""
+    for path in Path("/sys/devices").glob("pci*/*/rescan"):
+        try:
+            path.open("rb").close()
+        except PermissionError:
+            return path
+        except OSError:
+            continue
+    return None
+
+
+@pytest.mark.skipif(unreadable() is None, reason="no file here that cannot be opened")
+def test_a_denied_object_in_the_middle_ends_the_run(spark, tmp_path):
+    root = str(tmp_path / "root")
+    for hour in (0, 2, 5):
+        put_hour(tmp_path, f"0{hour}", block(fill(time=at(hour), hash=str(hour))))
+    (tmp_path / "source/a/b/20250727/03.lz4").symlink_to(unreadable())
+    assert files.fault(spark, str(tmp_path / "source/a/b/20250727/03.lz4")) == files.DENIED
+    with pytest.raises(PermissionError, match="03.lz4"):
+        run(spark, tmp_path, wave_hours=4)
+    # What could be read of that wave is in, later waves were not begun.
+    assert sorted(r["hash"] for r in store.fills(spark, root).collect()) == ["0", "2"]
+    latest = runs.ingest_status(store.runs(spark, root)).first()
     assert latest["state"] == runs.FAILED_RUN
 
 
+def test_faults_of_single_objects(spark, tmp_path, monkeypatch):
+    put_hour(tmp_path, "00", block(fill(time=at(0))))
+    put_hour(tmp_path, "01", block(*[fill(time=at(1), hash=str(i)) for i in range(500)]))
+    put_hour(tmp_path, "02", block(fill(time=at(2))))
+    found = archive.existing_objects
+
+    def vanishing(*args):
+        objects = found(*args)
+        (tmp_path / "source/a/b/20250727/02.lz4").unlink()
+        return objects
+
+    monkeypatch.setattr(archive, "existing_objects", vanishing)
+    limit = (tmp_path / "source/a/b/20250727/01.lz4").stat().st_size - 1
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(limit))
+    try:
+        status = run(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    outcome = {row["hour_start"].hour: row["status"] for row in status.collect()}
+    assert (outcome[0], outcome[1], outcome[2]) == ("processed", "failed_download", "missing")
+    latest = runs.ingest_status(store.runs(spark, str(tmp_path / "root"))).first()
+    assert (latest["files_missing"], latest["files_failed"]) == (22, 1)
+    assert files.fault(spark, str(tmp_path / "nothing there")) == files.MISSING
+    assert files.fault(spark, str(tmp_path)) == files.MISSING
+    assert files.fault(spark, str(tmp_path / "source/a/b/20250727/00.lz4")) == files.OTHER
+
+
+def test_progress_of_a_running_load(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "root")
+    for hour in (0, 7, 9):
+        put_hour(tmp_path, f"0{hour}", block(fill(time=at(hour)), fill(px="0", time=at(hour))))
+    put_hour(tmp_path, "08", raw=b"junk")
+    seen, append = [], commits.append
+
+    def watched(spark, root, records):
+        latest = runs.ingest_status(store.runs(spark, root)).first()
+        names = "state current_hour hours_done rows_inserted rows_quarantined files_missing files_failed"
+        seen.append(tuple(latest[name] for name in names.split()))
+        append(spark, root, records)
+
+    monkeypatch.setattr(commits, "append", watched)
+    run(spark, tmp_path, wave_hours=8)
+    assert seen == [
+        ("running", None, 0, 0, 0, 0, 0),
+        ("running", "20250727/07", 8, 2, 2, 6, 0),
+        ("running", "20250727/15", 16, 3, 3, 12, 1),
+    ]
+
+
+def hashes(spark, root: str) -> list[str]:
+    return sorted(row["hash"] for row in store.fills(spark, root).collect())
+
+
+@pytest.mark.parametrize("stop", ["half of the files", "before the commit"])
+def test_a_load_that_stops_leaves_every_hour_old(spark, tmp_path, monkeypatch, stop):
+    root = str(tmp_path / "root")
+    for hour in range(4):
+        put_hour(tmp_path, f"0{hour}", block(fill(time=at(hour), hash=f"old{hour}")), "{bad")
+    run(spark, tmp_path)
+    frame, old = store.fills(spark, root), [f"old{hour}" for hour in range(4)]
+    for hour in range(4):
+        put_hour(tmp_path, f"0{hour}", block(fill(time=at(hour), hash=f"new{hour}")))
+
+    def stopped(spark, root, *rest):
+        if stop == "half of the files":
+            for path in sorted((tmp_path / "root/tables").rglob("*.parquet"))[::2]:
+                if "new" in str(spark.read.parquet(str(path)).collect()):
+                    path.unlink()
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(commits, "append", stopped)
+        with pytest.raises(RuntimeError, match="killed"):
+            run(spark, tmp_path)
+    assert hashes(spark, root) == old
+    assert store.quarantine(spark, root).count() == 4
+    assert store.db_stats(spark, root).first()["quarantine_count"] == 4
+    run(spark, tmp_path)
+    assert hashes(spark, root) == [f"new{hour}" for hour in range(4)]
+    assert store.quarantine(spark, root).count() == 0
+    # A frame keeps to what there was when it was made, as long as nothing is cleared away.
+    assert sorted(row["hash"] for row in frame.collect()) == old
+    assert upkeep.vacuum(spark, root) == 0
+    late = datetime(2100, 1, 1)
+    assert upkeep.vacuum(spark, root, as_of=late) > 0
+    assert upkeep.vacuum(spark, root, as_of=late) == 0
+    assert hashes(spark, root) == [f"new{hour}" for hour in range(4)]
+
+
+def test_recluster_that_stops_or_is_overtaken_loses_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "root")
+    for hour in range(3):
+        put_hour(tmp_path, f"0{hour}", block(*[fill(time=at(hour, m), hash=f"{hour}") for m in (3, 1)]))
+    run(spark, tmp_path)
+    before = sorted(map(str, store.fills(spark, root).drop("load_id").collect()))
+    append = commits.append
+
+    def stopped(spark, root, records):
+        raise RuntimeError("killed")
+
+    def overtaken(spark, root, records):
+        monkeypatch.setattr(commits, "append", append)
+        put_hour(tmp_path, "01", block(fill(time=at(1), hash="reloaded")))
+        run(spark, tmp_path)
+        append(spark, root, records)
+
+    monkeypatch.setattr(commits, "append", stopped)
+    with pytest.raises(RuntimeError, match="killed"):
+        upkeep.recluster(spark, root, *DAY)
+    assert sorted(map(str, store.fills(spark, root).drop("load_id").collect())) == before
+    monkeypatch.setattr(commits, "append", append)
+    assert upkeep.recluster(spark, root, *DAY) == 1
+    assert upkeep.recluster(spark, root, *DAY) == 0
+    assert sorted(map(str, store.fills(spark, root).drop("load_id").collect())) == before
+    run(spark, tmp_path)
+    monkeypatch.setattr(commits, "append", overtaken)
+    assert upkeep.recluster(spark, root, *DAY) == 1
+    assert hashes(spark, root) == ["0", "0", "2", "2", "reloaded"]
+    assert upkeep.recluster(spark, root, *DAY) == 1
+    assert upkeep.recluster(spark, root, *DAY) == 0
+    assert hashes(spark, root) == ["0", "0", "2", "2", "reloaded"]
+
+
+def test_statistics_open_no_data_file(spark, tmp_path):
+    root = str(tmp_path / "root")
+    stray = fill(time=at(3, day=28))
+    put_hour(tmp_path, "00", block(fill(time=at(0)), fill(px="0", time=at(0)), stray), "{")
+    put_hour(tmp_path, "01", block(fill(time=at(1)), fill(sz="0", px="0", time=at(1))))
+    status = run(spark, tmp_path)
+    fills, rejected = store.fills(spark, root), store.quarantine(spark, root)
+    want = [
+        stats.db_stats(fills, rejected).collect(),
+        stats.partition_counts(fills).collect(),
+        sorted(validate.quarantine_reasons(rejected).collect()),
+        status.collect(),
+        [tuple(row) for row in coins.max_fill_time(fills).collect()],
+    ]
+    for path in (tmp_path / "root/tables").rglob("*.parquet"):
+        path.write_bytes(b"not to be opened")
+    got = [
+        store.db_stats(spark, root).collect(),
+        store.partition_counts(spark, root).collect(),
+        sorted(store.quarantine_reasons(spark, root).collect()),
+        status.collect(),
+        [tuple(row) for row in store.newest_fill(spark, root).collect()],
+    ]
+    assert got == want and len(want[1]) == 2 and len(want[2]) == 2
+    assert upkeep.fold_commits(spark, root) == 1
+    put_hour(tmp_path, "00", block(fill(time=at(0), hash="other")))
+    again = run(spark, tmp_path)
+    assert status.collect() == want[3] != again.collect()
+    assert upkeep.fold_commits(spark, root) == 2
+    assert upkeep.fold_commits(spark, root) == 1
+    assert status.collect() == want[3]
+    assert [tuple(r) for r in store.partition_counts(spark, root).collect()] == [("20250727", 2)]
+    assert store.hours(spark, root).count() == 2
+
+
 def test_writing_gathers_small_hours_into_one_file(spark, tmp_path):
     start = datetime(2025, 7, 27)
     rows = spark.range(4800).select(
@@ -151,7 +337,7 @@ def test_writing_gathers_small_hours_into_one_file(spark, tmp_path):
     )
     frame = rows.repartition(8).withColumn("time", F.col("time").cast("timestamp_ntz"))
     store.write_fills(frame, str(tmp_path / "root"))
-    names = list((tmp_path / "root").rglob("*.parquet"))
+    names = list((tmp_path / "root/tables").rglob("*.parquet"))
     assert len({path.parent for path in names}) == 48 and len(names) <= 60
 
 
@@ -161,19 +347,18 @@ def test_reload_replaces_the_hour(spark, tmp_path):
     put_hour(tmp_path, "00", block(fill(time=at(0), hash="old"), stray), "{")
     put_hour(tmp_path, "01", block(fill(time=at(1), hash="other")))
     run(spark, tmp_path)
-    hashes = lambda: sorted(r["hash"] for r in store.fills(spark, root).collect())
-    assert hashes() == ["old", "other", "stray"]
+    assert hashes(spark, root) == ["old", "other", "stray"]
     run(spark, tmp_path)
-    assert hashes() == ["old", "other", "stray"]
+    assert hashes(spark, root) == ["old", "other", "stray"]
     # A corrected object: the stray fill and the bad line are gone, the other hour is broken.
     put_hour(tmp_path, "00", block(fill(time=at(0), hash="new")))
     put_hour(tmp_path, "01", raw=b"junk")
     run(spark, tmp_path)
-    assert hashes() == ["new", "other"]
+    assert hashes(spark, root) == ["new", "other"]
     assert store.quarantine(spark, root).count() == 0
     put_hour(tmp_path, "00", block())
     run(spark, tmp_path)
-    assert hashes() == ["other"]
+    assert hashes(spark, root) == ["other"]
 
 
 def test_failed_run_is_logged_and_leaves_the_tables_alone(spark, tmp_path, monkeypatch):
@@ -181,10 +366,10 @@ def test_failed_run_is_logged_and_leaves_the_tables_alone(spark, tmp_path, monke
     put_hour(tmp_path, "00", block(fill(time=at(0))))
     run(spark, tmp_path)
 
-    def broken(rows, root):
+    def broken(rows, root, folder):
         raise RuntimeError("no space")
 
-    monkeypatch.setattr(store, "write_tables", broken)
+    monkeypatch.setattr(store, "write_rows", broken)
     with pytest.raises(RuntimeError, match="no space"):
         run(spark, tmp_path)
     assert store.fills(spark, root).count() == 1
@@ -254,10 +439,10 @@ def test_purge_and_recluster(spark, tmp_path):
         put_hour(tmp_path, hour, block(*[fill(time=t) for t in stamps], fill(px="0", time=stamps[0])))
     put(tmp_path / "source", "a/b/20250728/00.lz4", lz4(block(fill(time=at(0, 1, 28)))))
     run(spark, tmp_path, days=("20250727", "20250728"))
-    before = sorted(map(str, store.fills(spark, root).collect()))
+    before = sorted(map(str, store.fills(spark, root).drop("load_id").collect()))
     assert upkeep.recluster(spark, root, "20250727", "20250727") == 1
     assert upkeep.recluster(spark, root, "20240101", "20240102") == 0
-    assert sorted(map(str, store.fills(spark, root).collect())) == before
+    assert sorted(map(str, store.fills(spark, root).drop("load_id").collect())) == before
     assert upkeep.purge_expired(spark, root, 0, AS_OF) == 0
     assert upkeep.purge_before(spark, root, "20250727") == 0
     assert upkeep.purge_expired(spark, root, 4, AS_OF) == 2
