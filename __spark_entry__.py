@@ -284,7 +284,8 @@ placed AS (
          block_number + 1 AS line_no
   FROM (SELECT *, min(time) OVER (PARTITION BY block_number) AS first FROM fills) f),
 faulty AS (
-  SELECT *, block_number % 97 = 0 OR block_number % 89 = 1 OR block_number % 83 = 2 AS lost,
+  SELECT *, block_number % 97 = 0 OR block_number % 89 = 1 OR block_number % 83 = 2
+              OR block_number % 79 = 3 OR block_number % 73 = 5 OR block_number % 71 = 6 AS lost,
          CASE WHEN event_id % 107 = 4 THEN 'px_not_finite'
               WHEN event_id % 101 = 2 THEN 'px<=0'
               WHEN event_id % 103 = 3 THEN 'sz<=0'

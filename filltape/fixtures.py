@@ -127,8 +127,9 @@ def _iso(time: Column) -> Column:
 def raw_lines(source: DataFrame, faults: bool = True) -> DataFrame:
     """Block lines ``(key, line_no, line)`` of eight events each, in the raw input format.
 
-    With ``faults`` some fills get wrong values, some blocks lack a key, are cut off or
-    have another member behind them, and some carry keys that are not part of the format.
+    With ``faults`` some fills get wrong values, some blocks lack a key, are cut off, have
+    another member behind them, hold a key twice or half a character, and some carry keys
+    that are not part of the format.
     """
     values = _FAULTY_VALUES if faults else _VALUES
     body = ", ".join(f"'{key}', {sql.format(**values)}" for key, sql in _RAW_FILL.items())
@@ -159,6 +160,15 @@ def raw_lines(source: DataFrame, faults: bool = True) -> DataFrame:
         line = (
             F.when(F.expr("block_number % 97 = 0"), F.substring(line, 1, 20))
             .when(F.expr("block_number % 83 = 2"), F.concat(line, F.lit(',"x":1')))
+            .when(
+                F.expr("block_number % 79 = 3"),
+                F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(',"block_number":1}')),
+            )
+            .when(F.expr("block_number % 73 = 5"), F.replace(line, F.lit('"oid":'), F.lit('"oid":1,"oid":')))
+            .when(
+                F.expr("block_number % 71 = 6"),
+                F.replace(line, F.lit('"feeToken":"'), F.lit('"feeToken":"\\ud800')),
+            )
             .otherwise(line)
         )
     return blocks.select(

@@ -119,12 +119,56 @@ def _complete() -> Column:
     return F.expr(f"coalesce({' AND '.join(whole)}, false)")
 
 
+def _lone_surrogate(line: Column) -> Column:
+    """Whether an escape stands for one half of a character without the other.
+
+    Escaped backslashes and whole pairs are taken out first; only lines with such an
+    escape go through that.
+    """
+    half = r"\\u[dD][89a-fA-F]"
+    pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    rest = F.regexp_replace(F.regexp_replace(line, r"\\\\", "_"), pair, "_")
+    return F.when(line.rlike(half), rest.rlike(half)).otherwise(F.lit(False))
+
+
+def _all_keys() -> Column:
+    """Keys of the envelope and of every fill, null if they are exactly those that were read.
+
+    Every member of an object has one ``":`` in the text (a blank between the two is found
+    by :func:`_maybe_mistyped`). If there are no more of them than values read, no key can
+    occur twice and none is unknown, and nothing is parsed again.
+    """
+    colons = """octet_length(line) - octet_length(replace(line, '":', '"'))"""
+    read = " + ".join(f"if(fill.raw.{key} IS NULL, 0, 1)" for key in FILL_KEYS)
+    read = f"{len(ENVELOPE_KEYS)} + aggregate(fills, 0, (n, fill) -> n + {read})"
+    keys = (
+        "named_struct('envelope', json_object_keys(line), 'fills', "
+        "transform(parsed.block.events, pair -> json_object_keys(get(pair, 1))))"
+    )
+    return F.expr(f"CASE WHEN coalesce({colons} = {read}, false) THEN NULL ELSE {keys} END")
+
+
+def _repeated(keys: str) -> Column:
+    """Whether a key of the format comes twice in the envelope or in one fill."""
+
+    def twice(found: str, known: list[str]) -> str:
+        listed = f"array({', '.join(map(repr, known))})"
+        return (
+            f"size(filter({found}, key -> array_contains({listed}, key)))"
+            f" <> size(array_intersect({found}, {listed}))"
+        )
+
+    fills = f"exists({keys}.fills, fill -> {twice('fill', FILL_KEYS)})"
+    return F.expr(f"coalesce({twice(f'{keys}.envelope', ENVELOPE_KEYS)} OR {fills}, false)")
+
+
 def decode_blocks(lines: DataFrame) -> DataFrame:
-    """Replace ``line`` by ``block``, ``fills`` and ``parse_error`` in a frame ``(key, line)``.
+    """Replace ``line`` by ``block``, ``fills``, ``parse_error`` and ``keys`` in a frame ``(key, line)``.
 
     ``fills`` is an array, so the whole-block rule is one ``forall`` before the
     rows fan out and nothing has to be shuffled. What all fills of a block share
-    is worked out once per block.
+    is worked out once per block. ``keys`` holds all keys of the envelope and of each fill
+    where there may be others than those of the format.
     """
     line = F.col("line")
     block = F.struct(
@@ -138,10 +182,16 @@ def decode_blocks(lines: DataFrame) -> DataFrame:
         lines.withColumn("parsed", _parse_block(line))
         .withColumn("fills", _read_events())
         .withColumn("fills", _read_numbers())
+        .withColumn("keys", _all_keys())
         .select(
             *kept,
             "fills",
-            (~(_complete() & typed & _one_value(line))).alias("parse_error"),
+            "keys",
+            (
+                ~(_complete() & typed & _one_value(line))
+                | _repeated("keys")
+                | _lone_surrogate(line)
+            ).alias("parse_error"),
             block.alias("block"),
             key_hour_start(F.col("key")).alias("hour_start"),
         )
@@ -226,18 +276,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def unknown_keys(lines: DataFrame) -> DataFrame:
-    """How many accepted blocks and fills carry each key that is not part of the format."""
-    blocks = decode_blocks(lines.withColumn("text", F.col("line"))).filter(~F.col("parse_error"))
-    pairs = F.from_json("text", "events array<array<string>>", _JSON)["events"]
+    """How many accepted blocks and fills carry each key that is not part of the format.
+
+    The keys come from the parse that decides on the block; there is no other.
+    """
+    blocks = decode_blocks(lines).filter(~F.col("parse_error") & F.col("keys").isNotNull())
     extra = blocks.select(
-        F.array_except(F.json_object_keys("text"), F.lit(ENVELOPE_KEYS)).alias("envelope"),
+        F.array_except("keys.envelope", F.lit(ENVELOPE_KEYS)).alias("envelope"),
         F.flatten(
-            F.transform(
-                pairs,
-                lambda pair: F.array_except(
-                    F.json_object_keys(F.get(pair, F.lit(1))), F.lit(FILL_KEYS)
-                ),
-            )
+            F.transform("keys.fills", lambda fill: F.array_except(fill, F.lit(FILL_KEYS)))
         ).alias("fill"),
     )
     return (

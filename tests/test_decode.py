@@ -118,6 +118,17 @@ BROKEN = {
     "null block time": block(fill(), block_time=None),
     "escaped key": block(fill(px=1)).replace('"px"', '"p\\u0078"'),
     "bare NaN": block(fill()).replace('"2048.75"', "NaN"),
+    "block number again": block(fill())[:-1] + ',"block_number":1}',
+    "events again": block(fill())[:-1] + ',"events":[]}',
+    "coin again": block(fill()).replace('"coin":', '"coin": "x", "coin":'),
+    "escaped coin again": block(fill()).replace('"coin":', '"co\\u0069n": "x", "coin":'),
+    "optional key again": block(fill(dir="x")).replace('"dir":', '"dir": "y", "dir":'),
+    "empty optional key again": block(fill(dir="x")).replace('"dir":', '"dir": null, "dir":'),
+    "first half": block(fill()).replace("BTC", "\\ud83d"),
+    "second half": block(fill()).replace("BTC", "\\uDE00"),
+    "halves in the wrong order": block(fill()).replace("BTC", "\\ude00\\ud83d"),
+    "half before a backslash": block(fill()).replace("BTC", "\\ud83d\\\\\\ude00"),
+    "half in an unknown key": block(fill(), more="x").replace("more", "\\ud800"),
     "blank before colon": block(fill(px=1)).replace('"px":', '"px" :'),
 }
 
@@ -156,6 +167,13 @@ def test_unusual_but_valid_lines(spark):
     nested = block(fill(extra={"px": 1, "fee": [1]}), more=[[1], {"coin": 2}])
     rows = parse(spark, spaced, escaped, nested, block(fill()) + "\r")
     assert [r["parse_error"] for r in rows] == [False] * 4
+    pair = block(fill(coin="\U0001f600", hash="\\ud800", feeToken="\\\\ud800"))
+    unknown = block(fill(), x=1)[:-1] + ',"x":{"a":1,"a":2}}'
+    again = block(fill(more=1)).replace('"more": 1', '"more": 1, "more": 2')
+    token = block(fill(coin='":')) + " "
+    more = parse(spark, pair, unknown, again, token)
+    assert [r["parse_error"] for r in more] == [False] * 4
+    assert [more[0][name] for name in ("coin", "hash")] == ["\U0001f600", "\\ud800"]
     assert rows[0]["px"] == 2048.75 and rows[1]["coin"] == 'a"px":1\\'
 
 
