@@ -128,7 +128,8 @@ def _lone_surrogate(line: Column) -> Column:
     half = r"\\u[dD][89a-fA-F]"
     pair = r"\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
     rest = F.regexp_replace(F.regexp_replace(line, r"\\\\", "_"), pair, "_")
-    return F.when(line.rlike(half), rest.rlike(half)).otherwise(F.lit(False))
+    escaped = F.contains(line, F.lit("\\u")) & line.rlike(half)
+    return F.when(escaped, rest.rlike(half)).otherwise(F.lit(False))
 
 
 def _all_keys() -> Column:
@@ -136,11 +137,13 @@ def _all_keys() -> Column:
 
     Every member of an object has one ``":`` in the text (a blank between the two is found
     by :func:`_maybe_mistyped`). If there are no more of them than values read, no key can
-    occur twice and none is unknown, and nothing is parsed again.
+    occur twice and none is unknown, and nothing is parsed again. A block that lacks a
+    required value is rejected anyway, so only the optional ones are counted.
     """
     colons = """octet_length(line) - octet_length(replace(line, '":', '"'))"""
-    read = " + ".join(f"if(fill.raw.{key} IS NULL, 0, 1)" for key in FILL_KEYS)
-    read = f"{len(ENVELOPE_KEYS)} + aggregate(fills, 0, (n, fill) -> n + {read})"
+    read = " + ".join(f"if(fill.raw.{key} IS NULL, 0, 1)" for key in OPTIONAL_KEYS)
+    required = len(FILL_KEYS) - len(OPTIONAL_KEYS)
+    read = f"{len(ENVELOPE_KEYS)} + aggregate(fills, 0, (n, fill) -> n + {required} + {read})"
     keys = (
         "named_struct('envelope', json_object_keys(line), 'fills', "
         "transform(parsed.block.events, pair -> json_object_keys(get(pair, 1))))"
@@ -159,7 +162,8 @@ def _repeated(keys: str) -> Column:
         )
 
     fills = f"exists({keys}.fills, fill -> {twice('fill', FILL_KEYS)})"
-    return F.expr(f"coalesce({twice(f'{keys}.envelope', ENVELOPE_KEYS)} OR {fills}, false)")
+    envelope = twice(f"{keys}.envelope", ENVELOPE_KEYS)
+    return F.expr(f"CASE WHEN {keys} IS NULL THEN false ELSE coalesce({envelope} OR {fills}, false) END")
 
 
 def decode_blocks(lines: DataFrame) -> DataFrame:

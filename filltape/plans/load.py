@@ -54,8 +54,9 @@ def table_rows(
         "event_pos",
         F.when(outcome, F.col("status")).alias("status"),
         kind.alias("kind"),
-        F.col("time").cast("date").alias("event_date"),
-        hour_label(F.col("hour_start")).alias("src_hour"),
+        # Outcomes of all objects lie together: a row each is not worth a file.
+        F.when(~outcome, F.col("time").cast("date")).alias("event_date"),
+        F.when(~outcome, hour_label(F.col("hour_start"))).alias("src_hour"),
     )
 
 
@@ -98,7 +99,7 @@ def _load_wave(
         if outcome == files.DENIED:
             denied.append(one.path)
         else:
-            hour = one.key[-15:-4].replace("/", "")
+            hour = archive.hour_of(one.key)
             own = {"kind": store.HOURS, "src_hour": hour, "src_key": one.key, "status": outcome}
             records.append(own)
     records = commits.load_records(records, load_id, run_id)
@@ -136,8 +137,8 @@ def load_between(
         for done in range(0, total, size):
             ends = min(done + size, total)
             bounds = [first + timedelta(hours=hours) for hours in (done, ends)]
-            low, high = (f"{bound:%Y%m%d/%H}" for bound in bounds)
-            wave = [one for one in objects if low <= one.key[-15:-4] < high]
+            low, high = (f"{bound:%Y%m%d%H}" for bound in bounds)
+            wave = [one for one in objects if low <= archive.hour_of(one.key) < high]
             load_id = f"{run_id}-{done // size}"
             records = _load_wave(spark, root, wave, load_id, run_id, as_of, min_time)
             _count(log, records, ends - done, len(wave))

@@ -40,6 +40,11 @@ class Object(NamedTuple):
     length: int
 
 
+def hour_of(key: str) -> str:
+    """``YYYYMMDDHH`` of an object's key, which ends in ``<YYYYMMDD>/<HH>.lz4``."""
+    return key[-15:-4].replace("/", "")
+
+
 def existing_objects(
     spark: SparkSession, root: str, prefix: str, start: datetime, end: datetime
 ) -> list[Object]:

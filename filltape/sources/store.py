@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from filltape import params
 from filltape.functions import day_label, hour_label
 from filltape.schema import PARTITION_COLUMNS, PARTITIONS, RUNS, STORED_FILLS, STORED_QUARANTINE
-from filltape.sources import commits, files
+from filltape.sources import archive, commits, files
 
 FILLS, QUARANTINE, HOURS = "fills", "quarantine", commits.HOURS
 
@@ -200,7 +200,8 @@ def written(spark: SparkSession, root: str, folder: str) -> list[commits.Record]
     """
     path = folder_path(root, folder)
     rows = spark.read.schema(_WRITTEN).option("basePath", path).parquet(path)
-    groups = rows.groupBy("kind", *PARTITION_COLUMNS, "reason").agg(
+    hour_key = F.when(F.col("kind") == HOURS, F.col("src_key")).alias("hour_key")
+    groups = rows.groupBy("kind", *PARTITION_COLUMNS, "reason", hour_key).agg(
         F.count("*").alias("rows"),
         F.min("time").alias("min_time"),
         F.max("time").alias("max_time"),
@@ -210,10 +211,11 @@ def written(spark: SparkSession, root: str, folder: str) -> list[commits.Record]
     found: dict[tuple, commits.Record] = {}
     for group in groups.collect():
         own = group.asDict()
-        reason = own.pop("reason")
+        reason, hour_key = own.pop("reason"), own.pop("hour_key")
         is_hour = own["kind"] == HOURS
         if is_hour:
             own |= dict.fromkeys(("event_date", "rows", "min_time", "max_time"))
+            own["src_hour"] = archive.hour_of(hour_key)
         key = own["kind"], own["event_date"], own["src_hour"]
         if key in found and not is_hour:
             have = found[key]
