@@ -1,10 +1,10 @@
 """Length buckets with the least padding, and token-budget batches inside each bucket.
 
-A histogram of lengths over all documents decides where buckets end. Dynamic
-programming finds the boundaries with the least total padding. Lengths up to
-``EXACT`` are cells of their own, longer ones share a cell with lengths within
-1/``EXACT`` of them, so the histogram on the driver has a few thousand cells at most,
-whatever the number of documents; a bucket always ends at a length that occurs.
+A histogram of all lengths of all documents decides where buckets end. Dynamic
+programming finds the boundaries with the least total padding. The histogram has a row
+for every different length on the driver; n different lengths need n * n / 2 words of
+text at least, so ten thousand billion words have fewer than five million of them, and
+far fewer where lengths repeat. The program takes buckets times lengths steps.
 
 Batches need a running number of every document in its bucket. A bucket may hold a
 third of all rows, so rows are numbered in slices, and the slices' counts give the
@@ -13,14 +13,15 @@ offsets.
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from filltape.llm.common import SPACE, SPACE_CHARS, stored
 
-EXACT = 512
 BUCKETS = 16
 #: Tokens of a batch, padding included.
 BUDGET = 32_768
@@ -34,53 +35,62 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
 
 
-def _cell(length: Column) -> Column:
-    """The length with its leading binary digits only, rounded down."""
-    digits = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")) + 1e-12)
-    step = F.pow(F.lit(2.0), F.greatest(digits - (EXACT.bit_length() - 1), F.lit(0)))
-    return (F.floor(length / step) * step).cast("long")
-
-
-def boundaries(cells: list[tuple[int, int, int]], buckets: int) -> list[int]:
+def boundaries(lengths: list[tuple[int, int]], buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding.
 
-    ``cells`` are ``(longest, rows, tokens)`` in order of length. ``best[j]`` is the least
-    padded size of the first ``j`` cells with the buckets used so far; a further bucket
-    that ends at cell ``j`` and starts after ``i`` adds its rows times its longest.
+    ``lengths`` are ``(length, rows)`` in order of length. ``best[j]`` is the least padded
+    size of the first ``j`` lengths with the buckets used so far; a further bucket that
+    ends at length ``j`` and starts after ``i`` adds its rows times its longest. For a
+    given ``i`` that is a line in the longest length, flatter for a greater ``i``, so the
+    best ``i`` for rising lengths lies on the lower hull of the lines. All sums are exact.
     """
-    if not cells:
+    if not lengths:
         return []
-    tops = np.array([c[0] for c in cells], float)
-    rows = np.concatenate([[0], np.cumsum([c[1] for c in cells])]).astype(float)
-    count = len(cells)
-    best = np.concatenate([[0], rows[1:] * tops])
-    back = [np.zeros(count + 1, int)]
+    tops = [length for length, _ in lengths]
+    rows = list(accumulate((n for _, n in lengths), initial=0))
+    count = len(lengths)
+    best = [0, *(rows[j + 1] * tops[j] for j in range(count))]
+    back: list[list[int]] = []
     for _ in range(min(buckets, count) - 1):
-        new, start = best.copy(), np.full(count + 1, -1)
+        new, start = best.copy(), [-1] * (count + 1)
+        hull: deque[int] = deque([0])
         for j in range(1, count + 1):
-            cost = best[:j] + (rows[j] - rows[:j]) * tops[j - 1]
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], start[j] = cost[i], i
+            top = tops[j - 1]
+            while len(hull) > 1 and _at(best, rows, hull[1], top) <= _at(best, rows, hull[0], top):
+                hull.popleft()
+            cost = _at(best, rows, hull[0], top) + rows[j] * top
+            if cost < new[j]:
+                new[j], start[j] = cost, hull[0]
+            while len(hull) > 1 and _hidden(best, rows, hull[-2], hull[-1], j):
+                hull.pop()
+            hull.append(j)
         best = new
         back.append(start)
     ends, j = [], count
     for start in reversed(back):
         if start[j] == -1:
             continue
-        ends.append(int(tops[j - 1]))
-        j = int(start[j])
-        if j == 0:
-            break
+        ends.append(tops[j - 1])
+        j = start[j]
+    if j:
+        ends.append(tops[j - 1])
     return sorted(ends)
 
 
-def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
-    """``(longest, rows, tokens)`` of every cell in order, from a column ``length``."""
-    cells = lengths.groupBy(_cell(F.col("length")).alias("cell")).agg(
-        F.max("length").alias("top"), F.count("*").alias("n"), F.sum("length").alias("tokens")
-    )
-    return sorted((c["top"], c["n"], c["tokens"]) for c in cells.collect())
+def _at(best: list[int], rows: list[int], i: int, top: int) -> int:
+    """The line of ``i`` at ``top``: what lies before, less the rows it covers."""
+    return best[i] - rows[i] * top
+
+
+def _hidden(best: list[int], rows: list[int], a: int, b: int, c: int) -> bool:
+    """Whether the line of ``b`` is nowhere below both others; slopes fall from a to c."""
+    return (best[c] - best[a]) * (rows[b] - rows[a]) <= (best[b] - best[a]) * (rows[c] - rows[a])
+
+
+def histogram(lengths: DataFrame) -> list[tuple[int, int]]:
+    """``(length, rows)`` of every length in order, from a column ``length``."""
+    counts = lengths.groupBy("length").agg(F.count("*").alias("n"))
+    return sorted((row["length"], row["n"]) for row in counts.collect())
 
 
 def pack(
@@ -109,14 +119,13 @@ def pack(
         ),
         "lengths",
     )
-    cells = histogram(rows)
-    ends = boundaries(cells, buckets)
+    lengths = histogram(rows)
+    ends = boundaries(lengths, buckets)
     in_bucket = [
-        sum(n for top, n, _ in cells if low < top <= end)
+        sum(n for length, n in lengths if low < length <= end)
         for low, end in zip([-1, *ends], ends, strict=False)
     ]
     slices = [max(1, -(-n // SLICE_ROWS)) for n in in_bucket]
-    # A cell lies in one bucket whole, so comparing lengths with ends is exact.
     bucket, width, parts = F.lit(None), F.lit(None), F.lit(1)
     for number in reversed(range(len(ends))):
         inside = F.col("length") <= ends[number]

@@ -272,13 +272,31 @@ def test_bucket_boundaries_are_optimal():
         def cost(ends, tops=tops, rows=rows):
             return sum(n * min(e for e in ends if e >= t) for t, n in zip(tops, rows, strict=True))
 
-        ends = packing.boundaries([(t, n, t * n) for t, n in zip(tops, rows, strict=True)], limit)
+        ends = packing.boundaries(list(zip(tops, rows, strict=True)), limit)
         every = itertools.chain(*(itertools.combinations(tops, k) for k in range(1, limit + 1)))
         assert len(ends) <= limit
         assert cost(ends) == min(cost(c) for c in every if tops[-1] in c)
     assert packing.boundaries([], 3) == []
 
 
+def test_bucket_boundaries_of_many_lengths_are_optimal():
+    """Against the same program without the hull, where all lengths count for themselves."""
+    rng = np.random.default_rng(4)
+    tops = np.unique(np.round(np.exp(rng.normal(6, 1.5, 3000))).astype(int))
+    rows = rng.integers(1, 50, len(tops))
+    sums, best = np.concatenate([[0], np.cumsum(rows)]), None
+    for _ in range(9):
+        if best is None:
+            best = np.concatenate([[0], sums[1:] * tops])
+            continue
+        whole = best[None, :] + (sums[1:, None] - sums[None, :]) * tops[:, None]
+        whole[np.arange(len(tops) + 1)[None, :] > np.arange(len(tops))[:, None]] = 1 << 60
+        best = np.concatenate([[0], np.minimum(best[1:], whole.min(1))])
+    ends = packing.boundaries(list(zip(tops.tolist(), rows.tolist(), strict=True)), 9)
+    width = np.array(ends)[np.searchsorted(ends, tops)]
+    assert len(ends) <= 9 and (width * rows).sum() == best[-1] and tops.max() > 10_000
+
+
 @pytest.mark.parametrize("slice_rows", [200_000, 3])
 def test_packing(docs, slice_rows, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_ROWS", slice_rows)
@@ -297,31 +315,38 @@ def test_packing(docs, slice_rows, monkeypatch):
     assert len({(r["bucket"], r["batch"], r["place"]) for r in rows}) == len(rows)
 
 
-def test_cuts_reach_the_least_capacity():
+def test_cuts_are_contiguous_and_reach_the_least_capacity():
     rng = random.Random(6)
-    for _ in range(200):
-        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 9))]
-        shards_ = rng.randint(1, 4)
+    for _ in range(400):
+        sizes = [rng.choice((1, 2, 3, 9, 40)) for _ in range(rng.randint(1, 10))]
+        shards_ = rng.randint(1, 5)
         placed = shards.cuts(sizes, shards_)
         loads = Counter()
         for shard, size in zip(placed, sizes, strict=True):
             loads[shard] += size
-        assert set(placed) <= set(range(shards_))
-        fair = -(-sum(sizes) // shards_)
-        assert max(loads.values()) <= fair + max(sizes)
-        if max(sizes) * shards_ <= sum(sizes):
-            best = min(
-                max(sum(sizes[a:b]) for a, b in itertools.pairwise((0, *c, len(sizes))))
-                for c in itertools.combinations_with_replacement(range(len(sizes) + 1), shards_ - 1)
-            )
-            assert max(loads.values()) == best
+        assert placed == sorted(placed) and set(placed) == set(range(min(shards_, len(sizes))))
+        best = min(
+            max(sum(sizes[a:b]) for a, b in itertools.pairwise((0, *c, len(sizes))))
+            for c in itertools.combinations_with_replacement(range(len(sizes) + 1), shards_ - 1)
+        )
+        assert max(loads.values()) == best
     assert shards.cuts([], 3) == []
     assert shards.cuts([100, 1, 1, 1, 1], 3) == [0, 1, 1, 2, 2]
-
-
-@pytest.mark.parametrize("slice_rows", [1_000_000, 2])
-def test_shards(docs, slice_rows, monkeypatch):
+    assert sorted(Counter(shards.cuts([5] * 4, 3)).values()) == [1, 1, 2]
+    # One size as large as a third of all leaves the others near equal.
+    sizes = [rng.randint(1, 30) for _ in range(4000)]
+    sizes[1500] = sum(sizes) // 2
+    placed = shards.cuts(sizes, 40)
+    loads = [sum(s for s, p in zip(sizes, placed, strict=True) if p == n) for n in range(40)]
+    others = sorted(loads)[:-1]
+    assert max(loads) <= sizes[1500] + 30 and others[-1] < 1.2 * sum(others) / 39
+    assert sorted(others)[1] > 0.8 * sum(others) / 39
+
+
+@pytest.mark.parametrize(("slice_rows", "cells"), [(1_000_000, 1 << 16), (2, 1 << 16), (2, 2)])
+def test_shards(docs, slice_rows, cells, monkeypatch):
     monkeypatch.setattr(shards, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(shards, "CELLS", cells)
     rows = shards.shard(docs, 5).collect()
     want = [
         (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts()
@@ -331,6 +356,7 @@ def test_shards(docs, slice_rows, monkeypatch):
         slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
         assert 0 <= shard < 5 and slots == list(range(n))
     assert len({r["shard"] for r in rows if r["doc_id"] in (1, 2, 15)}) == 1
+    assert {r["shard"] for r in rows} == set(range(5))
 
 
 @pytest.mark.parametrize("kind", ["near", "repeats", "quality", "toxicity", "packing", "shards"])
