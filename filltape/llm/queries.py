@@ -196,7 +196,55 @@ def _leaf_sql(n_chars: str) -> str:
     return "sha256(" + " || ".join(_FIELD.format(f"cast({v} AS VARCHAR)") for v in values) + ")"
 
 
+# Words lie between ASCII white space.
+_WORDS = "list_filter(string_split_regex({}, '[ \\x09-\\x0D]+'), lambda word: word <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": f"""
+      WITH RECURSIVE split AS (
+        SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), "
+               "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words
+        FROM documents),
+      shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+        FROM split, unnest(range(1, greatest(len(words) - 3, 2))) AS r(i)
+        WHERE len(words) > 0),
+      sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+      shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id),
+      links AS (
+        SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b
+        WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+      both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+      reached AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION
+        SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.other),
+      least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+      SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+      FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op10_substring_dedup": f"""
+      WITH split AS (
+        SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+      windows AS (
+        SELECT doc_id, i, array_to_string(words[i : i + 49], ' ') AS window_text
+        FROM split, unnest(range(1, len(words) - 48)) AS r(i)),
+      firsts AS (SELECT window_text, min(doc_id) AS first FROM windows GROUP BY window_text),
+      covered AS (
+        SELECT DISTINCT w.doc_id, w.i + k AS i
+        FROM windows w JOIN firsts USING (window_text), range(50) AS r(k)
+        WHERE first < w.doc_id),
+      placed AS (
+        SELECT doc_id, i, words[i] AS word FROM split, unnest(range(1, len(words) + 1)) AS r(i)),
+      kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept_text
+        FROM placed ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id),
+      removed AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id)
+      SELECT s.doc_id, cast(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+             sha256(coalesce(kept_text, '')) AS kept_sha256
+      FROM split s LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
     "op13_merkle": f"""
       WITH RECURSIVE crc_steps AS (
         SELECT i, i AS value, 0 AS step FROM range(256) AS r(i)
