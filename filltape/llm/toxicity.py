@@ -5,21 +5,25 @@ characters, which catch inflected and invented forms. Terms are hashed into a fi
 number of buckets. The machine adds a weight per term and a product of factor vectors
 per pair of terms, so that two words which are harmless alone can count together.
 
-A first machine is fitted to the terms that tell something alone. Pairs of terms whose
-share of toxic texts differs from what the two terms and that machine give are found by
-counting all pairs of the sample on the executors. In the machine that scores, such a
-pair is one more term, and its two terms are fitted whether or not they tell anything alone.
+A first machine is fitted to the terms that tell something alone. Factor vectors that start
+near zero hardly move towards a pair whose terms tell nothing alone, so the start is looked
+for: all pairs of the sample's terms are counted on the executors, and pairs whose share of
+toxic texts differs from what the two terms and that machine give point the factors of their
+terms the same way (or opposite ways, if the pair is less toxic). The second machine is
+fitted from there, with the terms of all such pairs. A score has no other source than the
+weights and factors of the text's terms.
 
 The machine is fitted by the driver on a bounded sample of labelled texts, its size is
-bounded by the numbers of buckets and pairs, and every text is scored whole by the executors.
+bounded by the number of buckets, and every text is scored whole by the executors.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,14 +37,15 @@ from pyspark.sql import types as T
 from filltape.llm.common import stored
 
 BUCKETS = 1 << 18
-FACTORS = 4
+FACTORS = 8
 #: Labelled rows that are learned from, at most; those with the least hash of their id.
 SAMPLE_ROWS = 16_384
 #: Terms in fewer sampled texts, or whose share of toxic texts differs from the whole
 #: sample's by fewer standard deviations, do not tell anything alone.
 MIN_TEXTS, MIN_Z = 4, 3.5
-#: Pairs of all those counted that may be chosen by chance, and the most that are chosen.
-PAIR_ERRORS, MAX_PAIRS = 0.1, 1 << 16
+#: Pairs of all those counted that may be chosen by chance, and what the factors of a
+#: telling pair add to a score's logit before they are fitted.
+PAIR_ERRORS, PAIR_START = 0.1, 3.0
 #: Tasks that count pairs, and terms they add up at once.
 PAIR_TASKS, PAIR_TERMS = 12, 1 << 20
 EPOCHS, BATCH, RATE, L1, L2, SEED = 30, 256, 0.3, 3e-5, 1e-3, 17
@@ -48,6 +53,9 @@ EPOCHS, BATCH, RATE, L1, L2, SEED = 30, 256, 0.3, 3e-5, 1e-3, 17
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 _PREFIXES = (3, 4, 5, 6, 7)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of texts whose terms are found at once; a longer text is alone.
+_GROUP_CHARS = 1 << 19
 
 
 @dataclass
@@ -56,84 +64,144 @@ class Machine:
     weights: np.ndarray
     factors: np.ndarray
     squares: np.ndarray
-    pairs: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.paired = np.zeros(BUCKETS, bool)
-        self.paired[self.pairs] = True
-
-    def extended(self, terms: np.ndarray) -> np.ndarray:
-        """Terms of a text with its pairs, which are numbered from ``BUCKETS``."""
-        members = terms[self.paired[terms]]
-        if len(members) < 2:
-            return terms
-        has = np.zeros(BUCKETS, bool)
-        has[members] = True
-        both = np.flatnonzero(has[self.pairs[:, 0]] & has[self.pairs[:, 1]])
-        return np.concatenate([terms, (BUCKETS + both).astype(terms.dtype)])
+
+    def scores(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Scores of the texts whose terms are ``flat[ends[i] : ends[i + 1]]``."""
+        texts = len(ends) - 1
+        owner = np.repeat(np.arange(texts), np.diff(ends))
+        told = (self.weights[flat] != 0) | (self.squares[flat] != 0)
+        flat, owner = flat[told], owner[told]
+        raw = self.bias + np.bincount(owner, self.weights[flat], texts)
+        raw -= 0.5 * np.bincount(owner, self.squares[flat], texts)
+        for column in self.factors[flat].T:
+            raw += 0.5 * np.bincount(owner, column, texts) ** 2
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
     def score(self, terms: np.ndarray) -> float:
-        terms = self.extended(terms)
-        vectors = self.factors[terms].sum(0)
-        pairs = 0.5 * (float(vectors @ vectors) - float(self.squares[terms].sum()))
-        raw = self.bias + float(self.weights[terms].sum()) + pairs
-        return float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+        return float(self.scores(terms, np.array([0, len(terms)]))[0])
 
 
-def terms(text: str | None) -> np.ndarray:
-    """Buckets of the distinct terms of a text, in order.
+def term_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the distinct terms of every text, in order, and where each text's end.
 
     A beginning counts by how many words of the text have it, in powers of two, alone and
     in relation to the text's length.
     """
-    found_words = _WORD.findall((text or "").lower())
-    total = len(found_words)
-    counts = Counter(found_words)
-    found = {zlib.crc32(word.encode()) for word in counts}
-    for size in _PREFIXES:
-        starts: dict[str, int] = defaultdict(int)
-        for word, n in counts.items():
-            if len(word) > size:
-                starts[word[:size]] += n
-        for start, n in starts.items():
-            hashed = zlib.crc32(start.encode(), size)
-            found.add(hashed + n.bit_length())
-            if n > 1:
-                found.add(hashed + 64 + (2000 * n // total).bit_length())
-    buckets = np.fromiter(found, np.int64, len(found)) % BUCKETS
-    return np.unique(buckets).astype(np.int32)
-
-
-NO_PAIRS = np.empty((0, 2), np.int64)
-
-
-def _constant(share: float, pairs: np.ndarray = NO_PAIRS) -> Machine:
+    counted = [Counter(_WORD.findall((text or "").lower())) for text in texts]
+    words = list(itertools.chain.from_iterable(counted))
+    times = np.fromiter(
+        itertools.chain.from_iterable(c.values() for c in counted), np.int64, len(words)
+    )
+    own = np.repeat(np.arange(len(texts)), [len(c) for c in counted])
+    total = np.bincount(own, times, len(texts)).astype(np.int64)
+    hashes = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64, len(words))
+    keys = [own * BUCKETS + hashes % BUCKETS]
+    width = _PREFIXES[-1] + 1
+    chars = np.array(words, f"U{width}").view(np.uint32).reshape(-1, width).astype(np.uint64)
+    start = np.zeros(len(words), np.uint64)
+    for size in range(1, width):
+        start = (start + chars[:, size - 1] + np.uint64(size)) * _MIX
+        if size not in _PREFIXES:
+            continue
+        longer = np.flatnonzero(chars[:, size])
+        if not len(longer):
+            break
+        # One row per text and beginning: the text is mixed in for this.
+        mixed = (start[longer] ^ own[longer].astype(np.uint64)) * _MIX
+        order = np.argsort(mixed)
+        mixed, longer = mixed[order], longer[order]
+        first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
+        count = np.add.reduceat(times[longer], first)
+        text = own[longer[first]]
+        hashed = (start[longer[first]] >> np.uint64(24)).astype(np.int64)
+        keys.append(text * BUCKETS + (hashed + np.frexp(count)[1]) % BUCKETS)
+        many = np.flatnonzero(count > 1)
+        share = np.frexp(2000 * count[many] // total[text[many]])[1]
+        keys.append(text[many] * BUCKETS + (hashed[many] + 64 + share) % BUCKETS)
+    found = np.sort(np.concatenate(keys))
+    found = found[np.diff(found, prepend=-1) > 0]
+    ends = np.searchsorted(found, np.arange(len(texts) + 1) * BUCKETS)
+    return (found % BUCKETS).astype(np.int32), ends
+
+
+def terms(text: str | None) -> np.ndarray:
+    return term_sets([text])[0]
+
+
+def _grouped(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The term sets of a batch, some texts at a time."""
+    group, held = [], 0
+    for text in texts:
+        text = text.as_py()
+        if group and held + len(text or "") > _GROUP_CHARS:
+            yield term_sets(group)
+            group, held = [], 0
+        group.append(text)
+        held += len(text or "")
+    if group:
+        yield term_sets(group)
+
+
+def _constant(share: float) -> Machine:
     share = min(max(share, 1e-6), 1 - 1e-6)
-    empty = np.zeros((BUCKETS + len(pairs), FACTORS), np.float32)
-    zero = np.zeros(BUCKETS + len(pairs), np.float32)
-    return Machine(float(np.log(share / (1 - share))), zero, empty, zero, pairs)
+    empty, zero = np.zeros((BUCKETS, FACTORS), np.float32), np.zeros(BUCKETS, np.float32)
+    return Machine(float(np.log(share / (1 - share))), zero, empty, zero)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: np.ndarray = NO_PAIRS) -> Machine:
+@dataclass
+class Seeds:
+    """For every term of a telling pair its best partner, best pairs first.
+
+    ``sign`` is 1 if the two are more toxic together and -1 if they are less.
+    """
+
+    term: np.ndarray
+    partner: np.ndarray
+    sign: np.ndarray
+
+
+def start_factors(seeds: Seeds, rng: np.random.Generator) -> np.ndarray:
+    """Factors of all buckets from which the terms of telling pairs are fitted.
+
+    Linked pairs share a column; columns are dealt in turn to pairs that are not linked.
+    """
+    start = rng.normal(0, 0.01, (BUCKETS, FACTORS))
+    column = np.full(BUCKETS, -1)
+    used = 0
+    for term, partner, sign in zip(seeds.term, seeds.partner, seeds.sign, strict=True):
+        if column[term] < 0 and column[partner] < 0:
+            column[term] = used % FACTORS
+            start[term, column[term]] = 1
+            used += 1
+        for one, other in ((term, partner), (partner, term)):
+            if column[other] < 0:
+                column[other] = column[one]
+                start[other, column[one]] = sign * np.sign(start[one, column[one]])
+        if column[term] != column[partner] and abs(start[term, column[partner]]) < 0.5:
+            start[term, column[partner]] = sign * np.sign(start[partner, column[partner]])
+    return start
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, seeds: Seeds | None = None) -> Machine:
     """A machine from term sets and 0/1 labels, by AdaGrad with an L1 step on weights.
 
-    Fitted are terms that tell something alone, the terms of ``pairs``, and every pair as
-    a term of its own. The L1 step keeps terms that say nothing at a weight of exactly 0,
-    so a long harmless text does not add up small errors. With labels of one kind only
-    the score is constant.
+    Fitted are terms that tell something alone and the terms of ``seeds``, whose factors
+    start there. The L1 step keeps terms that say nothing at a weight of exactly 0, so a
+    long harmless text does not add up small errors. With labels of one kind only the
+    score is constant.
     """
     if not len(texts) or labels.min() == labels.max():
         return _constant(float(labels.mean()) if len(texts) else 0.0)
     share = float(labels.mean())
-    machine = _constant(0.5, pairs)
-    texts = [machine.extended(t) for t in texts]
+    machine = _constant(0.5)
     sizes = np.array([len(t) for t in texts])
     flat = np.concatenate(texts)
-    texts_with = np.bincount(flat, minlength=BUCKETS + len(pairs))
-    marked = np.bincount(flat, np.repeat(labels, sizes), BUCKETS + len(pairs))
+    texts_with = np.bincount(flat, minlength=BUCKETS)
+    marked = np.bincount(flat, np.repeat(labels, sizes), BUCKETS)
     spread = np.sqrt(np.maximum(texts_with, 1) * share * (1 - share))
     seen = (texts_with >= MIN_TEXTS) & (np.abs(marked - texts_with * share) >= MIN_Z * spread)
-    seen[pairs] = seen[BUCKETS:] = True
+    if seeds is not None:
+        seen[seeds.term] = True
     keep = seen[flat]
     owner = np.repeat(np.arange(len(texts)), sizes)[keep]
     kept = np.flatnonzero(seen)
@@ -141,6 +209,14 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, pairs: np.ndarray = NO_PAIR
     ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
+    if seeds is not None:
+        v = start_factors(seeds, rng)[kept]
+        sums = np.stack([np.bincount(owner, v[flat, f], len(texts)) for f in range(FACTORS)], 1)
+        squares = np.bincount(owner, (v[flat] ** 2).sum(1), len(texts))
+        added = 0.5 * np.abs((sums**2).sum(1) - squares)
+        if (added > 0.5).any():
+            # A word's beginnings come together, so their products add up.
+            v *= (PAIR_START / np.median(added[added > 0.5])) ** 0.5
     gw, gv, bias, gb = np.full(len(kept), 1e-2), np.full(v.shape, 1e-2), float(np.log(share / (1 - share))), 1e-2
     for _ in range(EPOCHS):
         order = rng.permutation(len(texts))
@@ -186,7 +262,8 @@ def held_out(doc_id: Column) -> Column:
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _terms(texts: pa.Array) -> pa.Array:
-    return pa.array([terms(text.as_py()) for text in texts], pa.list_(pa.int32()))
+    found = [np.split(flat, ends[1:-1]) for flat, ends in _grouped(texts)]
+    return pa.array(list(itertools.chain.from_iterable(found)), pa.list_(pa.int32()))
 
 
 def least_gain(terms: int) -> float:
@@ -247,8 +324,10 @@ def _count_pairs(
     labels: np.ndarray,
     scores: np.ndarray,
     terms: int,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``first, second, gain`` of the pairs that count, of every ``parts``-th first term.
+) -> tuple[np.ndarray, ...]:
+    """Of the pairs that count, of every ``parts``-th first term: each term's best partner.
+
+    The columns are ``term, partner, sign, gain``.
 
     ``flat`` has the terms of all texts, numbered from 0 and in order in every text. What
     two terms give by themselves lies between the share of the one that tells more, which
@@ -264,7 +343,7 @@ def _count_pairs(
     odds, base = shares / (1 - shares), share / (1 - share)
     strength = np.abs(np.log(odds / base))
     starts = np.concatenate([[0], np.cumsum(texts)])
-    found = []
+    found, held = [], 0
     for one in range(part, terms, parts):
         places = order[starts[one] : starts[one + 1]]
         both, marked = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
@@ -299,12 +378,24 @@ def _count_pairs(
         low, high = np.minimum(low[far], mean), np.maximum(high[far], mean)
         gain = _gain(n, m, np.clip(m / n, low, high))
         good = gain >= least
-        found.append((np.full(good.sum(), one), second[good], gain[good]))
+        second, gain, sign = second[good], gain[good], np.where(m > n * mean, 1, -1)[good]
+        found.append((np.full(len(second), one), second, sign, gain))
+        found.append((second, np.full(len(second), one), sign, gain))
+        held += 2 * len(second)
+        if held > PAIR_TERMS:
+            found = [_best_partners(found)]
+            held = len(found[0][0])
+    return _best_partners(found)
+
+
+def _best_partners(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row per term: the partner of the greatest gain, of equal ones the least."""
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    first, second, gain = (np.concatenate(c) for c in zip(*found, strict=True))
-    best = np.argsort(-gain, kind="stable")[:MAX_PAIRS]
-    return first[best], second[best], gain[best]
+        return tuple(np.empty(0, kind) for kind in (np.int64, np.int64, np.int64, float))
+    term, partner, sign, gain = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((partner, -gain, term))
+    best = order[np.flatnonzero(np.diff(term[order], prepend=-1))]
+    return term[best], partner[best], sign[best], gain[best]
 
 
 def telling_pairs(
@@ -313,10 +404,14 @@ def telling_pairs(
     labels: np.ndarray,
     scores: np.ndarray,
     paired: np.ndarray,
-) -> np.ndarray:
-    """Pairs of the terms ``paired`` that tell what terms and ``scores`` do not, by tasks."""
+) -> Seeds | None:
+    """Pairs of the terms ``paired`` that tell what terms and ``scores`` do not, by tasks.
+
+    Every term of such a pair has one row, so what reaches the driver is bounded by the
+    number of terms.
+    """
     if len(paired) < 2:
-        return NO_PAIRS
+        return None
     place = np.full(BUCKETS, -1, np.int32)
     place[paired] = np.arange(len(paired))
     numbered = [own[own >= 0] for own in (place[t] for t in texts)]
@@ -329,14 +424,19 @@ def telling_pairs(
             for part in batch["id"].to_pylist():
                 columns = _count_pairs(part, PAIR_TASKS, *sent.value, terms)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], names=["first", "second", "gain"]
+                    [pa.array(c) for c in columns], names=["term", "partner", "sign", "gain"]
                 )
 
     parts = spark.range(0, PAIR_TASKS, 1, PAIR_TASKS)
-    counted = parts.mapInArrow(count, "first long, second long, gain double")
-    best = counted.orderBy(F.desc("gain"), "first", "second").limit(MAX_PAIRS).toArrow()
+    counted = parts.mapInArrow(count, "term long, partner long, sign long, gain double")
+    rows = counted.toArrow()
     sent.destroy()
-    return paired[np.stack([best[c].to_numpy() for c in ("first", "second")], 1)]
+    best = _best_partners([tuple(rows[c].to_numpy() for c in rows.column_names)])
+    if not len(best[0]):
+        return None
+    order = np.lexsort((best[0], -best[3]))
+    term, partner, sign = (column[order] for column in best[:3])
+    return Seeds(paired[term], paired[partner], sign)
 
 
 def learn(
@@ -384,8 +484,8 @@ def learn(
     marks = sample["toxic"].to_numpy().astype(float)
     machine = fit(split, marks)
     scores = np.array([machine.score(own) for own in split])
-    pairs = telling_pairs(docs.sparkSession, split, marks, scores, paired)
-    return fit(split, marks, pairs) if len(pairs) else machine
+    seeds = telling_pairs(docs.sparkSession, split, marks, scores, paired)
+    return machine if seeds is None else fit(split, marks, seeds)
 
 
 def score(docs: DataFrame, machine: Machine, text: Column) -> Column:
@@ -396,7 +496,8 @@ def score(docs: DataFrame, machine: Machine, text: Column) -> Column:
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         for batch in batches:
-            yield pa.array([own.score(terms(t.as_py())) for t in batch], pa.float64())
+            found = [own.scores(flat, ends) for flat, ends in _grouped(batch)]
+            yield pa.array(np.concatenate([*found, np.empty(0)]), pa.float64())
 
     return scores(text)
 

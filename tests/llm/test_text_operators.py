@@ -402,6 +402,56 @@ def test_toxicity_learns_a_pair_whose_terms_tell_nothing(spark):
 
     assert share("qqa zzb") >= 0.95
     assert max(share("qqa w1"), share("w1 zzb"), share("w1 w2")) <= 0.05
+    # The factors alone know the pair.
+    machine.factors[:] = machine.squares[:] = 0
+    assert share("qqa zzb") <= 0.05
+
+
+def test_toxicity_score_is_the_machine_s_formula():
+    """Weights and products of factors, by double loops; no term counts for its text twice."""
+    rng = np.random.default_rng(3)
+    zero = np.zeros(toxicity.BUCKETS)
+    machine = toxicity.Machine(-1.0, zero, np.zeros((toxicity.BUCKETS, 3)), zero)
+    kinds = [None, "", "one", "One two THREE threefold", sentence(9, 200), sentence(9, 200)]
+    flat, ends = toxicity.term_sets(kinds)
+    sets = np.split(flat, ends[1:-1])
+    used = np.unique(flat)[::2]
+    machine.weights[used] = rng.normal(0, 0.1, len(used))
+    machine.factors[used] = rng.normal(0, 0.1, (len(used), 3))
+    machine.squares = (machine.factors**2).sum(1)
+    found = machine.scores(flat, ends)
+    for text, own, score in zip(kinds, sets, found, strict=True):
+        assert len(set(own)) == len(own) and list(own) == list(toxicity.terms(text))
+        raw = machine.bias + sum(machine.weights[t] for t in own)
+        for a, b in itertools.combinations(own, 2):
+            raw += machine.factors[a] @ machine.factors[b]
+        assert score == pytest.approx(1 / (1 + np.exp(-raw)))
+    assert found[4] == found[5] and found[0] == found[1]
+
+
+def test_toxicity_best_partners_against_all_pairs():
+    """A planted pair is every term's best partner if no other pair tells; order is fixed."""
+    rng = np.random.default_rng(5)
+    labels, texts = np.zeros(3000), []
+    for i in range(3000):
+        own = set(rng.choice(np.arange(2, 60), 20, replace=False))
+        own |= {n for n in (0, 1) if rng.random() < 0.3}
+        labels[i] = rng.random() < (0.9 if {0, 1} <= own else 0.05)
+        texts.append(np.array(sorted(own)))
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    share = np.full(3000, labels.mean())
+    parts = [
+        toxicity._count_pairs(p, 4, np.concatenate(texts), ends, labels, share, 60)
+        for p in range(4)
+    ]
+    term, partner, sign, gain = toxicity._best_partners(parts)
+    best = {t: (p, s) for t, p, s in zip(term, partner, sign, strict=True)}
+    assert best[0] == (1, 1) and best[1] == (0, 1)
+    both = np.array([{0, 1} <= set(t) for t in texts])
+    # What is left of a pair's gain after its two terms is at most all of it.
+    n, m = both.sum(), labels[both].sum()
+    most = toxicity._gain(np.array([n]), np.array([m]), np.array([labels.mean()]))[0]
+    assert toxicity.least_gain(60) <= gain[list(term).index(0)] <= most
 
 
 def test_near_duplicates_bound_groups_of_apart_classes(spark, monkeypatch):
