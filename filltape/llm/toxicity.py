@@ -194,26 +194,30 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seeds: Seeds | None = None)
         return _constant(float(labels.mean()) if len(texts) else 0.0)
     share = float(labels.mean())
     machine = _constant(0.5)
-    sizes = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts)
-    texts_with = np.bincount(flat, minlength=BUCKETS)
-    marked = np.bincount(flat, np.repeat(labels, sizes), BUCKETS)
+    texts_with, marked = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for kind, total in ((labels >= 0, texts_with), (labels > 0, marked)):
+        chosen = np.flatnonzero(kind)
+        for first in range(0, len(chosen), BATCH):
+            some = np.concatenate([texts[i] for i in chosen[first : first + BATCH]])
+            total += np.bincount(some, minlength=BUCKETS)
     spread = np.sqrt(np.maximum(texts_with, 1) * share * (1 - share))
     seen = (texts_with >= MIN_TEXTS) & (np.abs(marked - texts_with * share) >= MIN_Z * spread)
     if seeds is not None:
         seen[seeds.term] = True
-    keep = seen[flat]
-    owner = np.repeat(np.arange(len(texts)), sizes)[keep]
     kept = np.flatnonzero(seen)
-    flat = np.searchsorted(kept, flat[keep])
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+    number = np.zeros(BUCKETS, np.int32)
+    number[kept] = np.arange(len(kept))
+    numbered = [number[t[seen[t]]] for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in numbered])])
+    flat = np.concatenate(numbered)
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
     if seeds is not None:
         v = start_factors(seeds, rng)[kept]
-        sums = np.stack([np.bincount(owner, v[flat, f], len(texts)) for f in range(FACTORS)], 1)
-        squares = np.bincount(owner, (v[flat] ** 2).sum(1), len(texts))
-        added = 0.5 * np.abs((sums**2).sum(1) - squares)
+        squares = (v**2).sum(1)
+        added = np.zeros(len(texts))
+        for i, own in enumerate(numbered):
+            added[i] = 0.5 * abs((v[own].sum(0) ** 2).sum() - squares[own].sum())
         if (added > 0.5).any():
             # A word's beginnings come together, so their products add up.
             v *= (PAIR_START / np.median(added[added > 0.5])) ** 0.5
@@ -414,7 +418,8 @@ def telling_pairs(
         return None
     place = np.full(BUCKETS, -1, np.int32)
     place[paired] = np.arange(len(paired))
-    numbered = [own[own >= 0] for own in (place[t] for t in texts)]
+    kind = np.uint16 if len(paired) <= 1 << 16 else np.int32
+    numbered = [own[own >= 0].astype(kind) for own in (place[t] for t in texts)]
     ends = np.concatenate([[0], np.cumsum([len(t) for t in numbered])])
     sent = spark.sparkContext.broadcast((np.concatenate(numbered), ends, labels, scores))
     terms = len(paired)
