@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filltape.llm.common import stored
@@ -14,11 +14,18 @@ def _linked_to_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u").withColumn("least", F.least("u", "least"))
 
 
+def _each(names: tuple[str, str], *pairs: tuple[str, str]) -> Column:
+    """Two columns ``names`` with a row for each of ``pairs`` of columns.
+
+    A union would read its frame once for each of them, with all that lies below it.
+    """
+    rows = [F.struct(*(F.col(c).alias(n) for c, n in zip(p, names, strict=True))) for p in pairs]
+    return F.inline(F.array(*rows))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Links of every node's greater neighbours to the least of its neighbourhood."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        links.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
+    both = links.select(_each(("u", "v"), ("a", "b"), ("b", "a")))
     return _linked_to_least(both).filter("v > u").select(
         F.col("v").alias("a"), F.col("least").alias("b")
     )
@@ -27,9 +34,8 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Links of every node and its lesser neighbours to the least of them."""
     down = _linked_to_least(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    own = down.select(F.col("u").alias("a"), F.col("least").alias("b"))
-    others = down.select(F.col("v").alias("a"), F.col("least").alias("b"))
-    return own.union(others).filter("a != b").distinct()
+    stars = down.select(_each(("a", "b"), ("u", "least"), ("v", "least")))
+    return stars.filter("a != b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

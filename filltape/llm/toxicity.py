@@ -182,6 +182,22 @@ def start_factors(seeds: Seeds, rng: np.random.Generator) -> np.ndarray:
     return start
 
 
+def _flat(
+    texts: list[np.ndarray], kept: np.ndarray, number: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the kept terms of every text in one array, and where each text's end.
+
+    Small arrays that live as long as the whole would leave the driver's heap in pieces
+    that are never given back.
+    """
+    sizes = [np.count_nonzero(kept[t]) for t in texts]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.empty(ends[-1], number.dtype)
+    for i, own in enumerate(texts):
+        flat[ends[i] : ends[i + 1]] = number[own[kept[own]]]
+    return flat, ends
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seeds: Seeds | None = None) -> Machine:
     """A machine from term sets and 0/1 labels, by AdaGrad with an L1 step on weights.
 
@@ -207,16 +223,15 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seeds: Seeds | None = None)
     kept = np.flatnonzero(seen)
     number = np.zeros(BUCKETS, np.int32)
     number[kept] = np.arange(len(kept))
-    numbered = [number[t[seen[t]]] for t in texts]
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in numbered])])
-    flat = np.concatenate(numbered)
+    flat, ends = _flat(texts, seen, number)
     rng = np.random.default_rng(SEED)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
     if seeds is not None:
         v = start_factors(seeds, rng)[kept]
         squares = (v**2).sum(1)
         added = np.zeros(len(texts))
-        for i, own in enumerate(numbered):
+        for i in range(len(texts)):
+            own = flat[ends[i] : ends[i + 1]]
             added[i] = 0.5 * abs((v[own].sum(0) ** 2).sum() - squares[own].sum())
         if (added > 0.5).any():
             # A word's beginnings come together, so their products add up.
@@ -419,9 +434,9 @@ def telling_pairs(
     place = np.full(BUCKETS, -1, np.int32)
     place[paired] = np.arange(len(paired))
     kind = np.uint16 if len(paired) <= 1 << 16 else np.int32
-    numbered = [own[own >= 0].astype(kind) for own in (place[t] for t in texts)]
-    ends = np.concatenate([[0], np.cumsum([len(t) for t in numbered])])
-    sent = spark.sparkContext.broadcast((np.concatenate(numbered), ends, labels, scores))
+    flat, ends = _flat(texts, place >= 0, place.astype(kind))
+    sent = spark.sparkContext.broadcast((flat, ends, labels, scores))
+    del flat
     terms = len(paired)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,6 +459,20 @@ def telling_pairs(
     return Seeds(paired[term], paired[partner], sign)
 
 
+def _collected(learned: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Term sets and labels of ``toxic, terms``, in one copy and apart from Arrow's memory."""
+    rows = learned.select("toxic", "terms").toArrow()
+    marks = rows["toxic"].to_numpy().astype(float)
+    parts = rows["terms"].chunks
+    sizes = [np.diff(part.offsets.to_numpy()) for part in parts]
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, int), *sizes]))]).astype(int)
+    values = np.concatenate([np.empty(0, np.int32), *(part.flatten().to_numpy() for part in parts)])
+    del rows, parts
+    # Arrow keeps what it has freed until it is used again, for as long as the driver runs.
+    pa.default_memory_pool().release_unused()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)], marks
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
@@ -482,11 +511,7 @@ def learn(
         return pa.array(kept, pa.list_(pa.int32()))
 
     learned = sample.select("doc_id", "toxic", only_wanted("terms").alias("terms"))
-    sample = learned.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    found = sample["terms"].combine_chunks()
-    ends, values = found.offsets.to_numpy(), found.values.to_numpy()
-    split = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-    marks = sample["toxic"].to_numpy().astype(float)
+    split, marks = _collected(learned.orderBy(F.xxhash64("doc_id"), "doc_id"))
     machine = fit(split, marks)
     scores = np.array([machine.score(own) for own in split])
     seeds = telling_pairs(docs.sparkSession, split, marks, scores, paired)
